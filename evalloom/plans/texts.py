@@ -1 +1,180 @@
+"""Queries over text, option-list and JSON-text expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalloom import constants as C
+from evalloom.functions import text as X
+from evalloom.operators import sequences
+from evalloom.plans.common import STRIP, derive, duck, lettered, parse_md, stripped, table
+
 QUERIES = {}
+
+
+def query(name, sql=None):
+    def add(fn):
+        QUERIES[name] = (fn, sql)
+        return fn
+
+    return add
+
+
+@query("option_keys", "select o_orderkey, array_to_string(list_transform(range(o_orderkey % 9), lambda i: chr((65 + i)::int)), ',') as keys from orders")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(X.option_keys(F.col("o_orderkey") % 9), ",").alias("keys"))
+
+
+NAMES = "string_split(p_name || ' ' || lower(p_type) || ' ' || p_brand, ' ')"
+
+
+def _names():
+    return F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand"), " ")
+
+
+@query("render_options", f"""select p_partkey, {lettered(NAMES)} as lines, {lettered(NAMES, '(', ') ')} as paren,
+    {lettered(NAMES, '- ', ': ', 'chr(10) || chr(10)')} as blocks from part""")
+def _(spark, sf):
+    styles = ("lines", "paren", "blocks")
+    return table(spark, sf, "part").select("p_partkey", *[X.render_options(_names(), s).alias(s) for s in styles])
+
+
+@query("expected_key", f"select p_partkey, chr((64 + list_position({NAMES}, p_brand))::int) as key from part")
+def _(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.expected_key(_names(), "p_brand").alias("key"))
+
+
+@query("render_prompt", "select o_orderkey, 'Order ' || o_orderkey || ' of {' || o_custkey || '} is ' || o_orderstatus || '.' as prompt from orders")
+def _(spark, sf):
+    template = "Order {key} of {{{customer}}} is {status}."
+    prompt = X.render_prompt(template, key="o_orderkey", customer="o_custkey", status="o_orderstatus")
+    return table(spark, sf, "orders").select("o_orderkey", prompt.alias("prompt"))
+
+
+SYNONYMS = {"p_type": {"SMALL": "klein", "LARGE": "groß"}, "p_size": {}}
+LABELS = {"p_type": "kind", "p_brand": "maker", "p_missing": "nothing"}
+
+
+@query("describe_attributes", f"""select p_partkey, coalesce({parse_md(SYNONYMS['p_type'])}[p_type], p_type) || ' kind, ' || p_brand || ' maker' as description from part""")
+def _(spark, sf):
+    df = table(spark, sf, "part")
+    return df.select("p_partkey", X.describe_attributes(df.columns, SYNONYMS, LABELS).alias("description"))
+
+
+@query("render_chat", f"""with t as (select conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) as role, {stripped('text')} as text,
+        row_number() over (partition by conv_id order by turn) - 1 as i from conversations),
+    l as (select conv_id, i, case when text = '' then role || ':' else role || ': ' || text || case when i % 2 = 0 then chr(10) || chr(10) else '<end>' end end as line from t)
+    select conv_id, {stripped("'Be brief.' || chr(10) || chr(10) || string_agg(line, '' order by i)")} as rendered from l group by conv_id""")
+def _(spark, sf):
+    return sequences.render_chat(table(spark, sf, "conversations"), "Be brief.", ("\n\n", "<end>"))
+
+
+@query("wrap_instruction", f"""select doc_id, 'Generate an image: ' || {stripped('text')} as generation, 'Generate an image.' as unconditional,
+    '<|extra_203|>You are a helpful assistant for concept definition task. USER: ' || {stripped('text')} || ' ASSISTANT: <|extra_100|>' as chat from documents""")
+def _(spark, sf):
+    wrap = {"generation": "generation", "unconditional": "unconditional", "chat": "text"}
+    return table(spark, sf, "documents").select("doc_id", *[X.wrap_instruction("text", m).alias(n) for n, m in wrap.items()])
+
+
+COMPLETIONS = """select doc_id, concat('  ', text, case when doc_id % 2 = 0 then '<|extra_101|>tail' else '' end,
+    case when doc_id % 3 = 0 then '<|extra_204|>' else '' end, '  ') as completion from {documents}"""
+
+
+@query("clean_completion", f"""select doc_id, {stripped("replace(split_part(completion, '<|extra_101|>', 1), '<|extra_204|>', '')")} as clean from ({duck(COMPLETIONS)})""")
+def _(spark, sf):
+    return derive(spark, sf, COMPLETIONS).select("doc_id", X.clean_completion("completion").alias("clean"))
+
+
+PADDED = "select doc_id, concat(repeat('<pad.>', 2), text, repeat('<pad.>', cast(doc_id % 4 as int))) as padded from {documents}"
+
+
+@query("strip_trailing_pads", r"select doc_id, regexp_replace(padded, '(<pad\.>)+$', '') as clean from (" + duck(PADDED) + ")")
+def _(spark, sf):
+    return derive(spark, sf, PADDED).select("doc_id", X.strip_trailing_pads("padded", "<pad.>").alias("clean"))
+
+
+@query("strip_image_tags", r"select page_id, regexp_replace('Look at' || chr(10) || ' <image 1>  ' || html || ' <image 22> ', '\s*<image \d+>\s*', ' ', 'g') as clean from pages")
+def _(spark, sf):
+    tagged = F.concat(F.lit("Look at\n <image 1>  "), "html", F.lit(" <image 22> "))
+    return table(spark, sf, "pages").select("page_id", X.strip_image_tags(tagged).alias("clean"))
+
+
+@query("parse_literal_list", "select p_partkey, p_name || '|' || p_brand || '|it''s' as items from part")
+def _(spark, sf):
+    text = F.concat(F.lit("['"), "p_name", F.lit("', '"), "p_brand", F.lit("', \"it's\"]"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.parse_literal_list(text), "|").alias("items"))
+
+
+@query("normalize_text", "select doc_id, regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g') as norm from documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.normalize_text("text").alias("norm"))
+
+
+@query("model_of_run", "select event_id, event_type as model from events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.model_of_run(F.concat("event_type", F.lit("-"), "user_id", F.lit("-x"))).alias("model"))
+
+
+@query("sample_id", "select o_orderkey, 'image_' || o_orderstatus || '_' || case when length(o_orderkey::varchar) >= 4 then o_orderkey::varchar else lpad(o_orderkey::varchar, 4, '0') end as id from orders")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", X.sample_id("image", "o_orderstatus", "o_orderkey", 4).alias("id"))
+
+
+@query("json_block", r"select event_id, regexp_extract('Sure: {' || props || '} done } ' || chr(10) || event_type, '(?s)(\{.*\})', 1) as block from events")
+def _(spark, sf):
+    raw = F.concat(F.lit("Sure: {"), "props", F.lit("} done } \n"), "event_type")
+    return table(spark, sf, "events").select("event_id", X.json_block(raw).alias("block"))
+
+
+BROKEN = """select doc_id, concat('{{"a":', chr(10), '"', replace(text, '"', concat(chr(92), '"')), '", "b": 1', chr(10), '}}') as raw from {documents}"""
+
+
+@query("escape_newlines_in_strings", r"""select doc_id, array_to_string(list_transform(regexp_extract_all(raw, '"[^"\\]*(?:\\[^\n][^"\\]*)*"|[^"]+|"'),
+    lambda t: case when starts_with(t, '"') and length(t) > 1 then replace(t, chr(10), chr(92) || 'n') else t end), '') as fixed
+    from (""" + duck(BROKEN).replace("{{", "{").replace("}}", "}") + ")")
+def _(spark, sf):
+    return derive(spark, sf, BROKEN).select("doc_id", X.escape_newlines_in_strings("raw").alias("fixed"))
+
+
+TITLES = "select page_id, concat(regexp_extract(html, '<title>([^<]*)</title>', 1), case when page_id % 2 = 0 then ' - part two' else '' end, case when page_id % 3 = 0 then ' (2001)' else '' end) as title from {pages}"
+
+
+@query("display_title", r"select page_id, " + stripped(r"split_part(regexp_replace(title, '\(.*\)$', ''), '-', 1)") + " as title from (" + duck(TITLES) + ")")
+def _(spark, sf):
+    return derive(spark, sf, TITLES).select("page_id", X.display_title("title").alias("title"))
+
+
+REPLIES = """select conv_id, turn, case when turn % 4 = 1 then '  I cannot generate images of HARMFUL content. ' when conv_id % 3 = 0 then concat('Sure, ', text)
+    when conv_id % 5 = 0 then concat(text, '<begin_of_image>') else text end as completion from {conversations}"""
+
+
+@query("classify_refusal", f"""select conv_id, turn, case when lower({stripped('completion')}) = lower('{C.REFUSAL_TEXT}') then 'refusal'
+    when starts_with(lower({stripped('completion')}), 'sure') or contains(lower(completion), '<begin_of_image>') then 'affirmative' else 'unknown' end as status
+    from ({duck(REPLIES)})""")
+def _(spark, sf):
+    return derive(spark, sf, REPLIES).select("conv_id", "turn", X.classify_refusal("completion").alias("status"))
+
+
+@query("id_from_file_name", r"""select page_id, case when page_id % 5 = 0 then '0000' else lpad(page_id::varchar, 4, '0') end as id from pages""")
+def _(spark, sf):
+    name = F.when(F.col("page_id") % 5 == 0, "broken.png").otherwise(F.concat(F.lit("face_"), X.zero_pad("page_id", 4), F.lit(".png")))
+    return table(spark, sf, "pages").select("page_id", X.id_from_file_name(name).alias("id"))
+
+
+LISTS = """select o_orderkey, concat_ws(',', o_orderstatus, o_orderpriority, cast(o_orderkey % 7 as string), o_orderpriority, concat('cust ', o_custkey)) as a,
+    concat_ws(',', o_orderpriority, 'x') as b, concat_ws(',', cast(o_orderkey % 5 as string)) as c from {orders}"""
+
+
+@query("clean_list", f"""select o_orderkey, array_to_string(list_sort(list_distinct(list_filter(string_split(a, ','), lambda s: length(s) > 5))), '|') as items from ({duck(LISTS)})""")
+def _(spark, sf):
+    return derive(spark, sf, LISTS).select("o_orderkey", F.array_join(X.clean_list(F.split("a", ","), 5), "|").alias("items"))
+
+
+@query("set_difference", f"""select o_orderkey, array_to_string(list_sort(list_distinct(list_filter(string_split(a, ','), lambda s: not list_contains(string_split(b, ','), s) and not list_contains(string_split(c, ','), s)))), '|') as items
+    from ({duck(LISTS)})""")
+def _(spark, sf):
+    rest = X.set_difference(F.split("a", ","), F.split("b", ","), F.split("c", ","))
+    return derive(spark, sf, LISTS).select("o_orderkey", F.array_join(F.array_sort(rest), "|").alias("items"))
+
+
+assert STRIP == X.BLANK
