@@ -193,15 +193,17 @@ def with_refusal_status(df: DataFrame, completion: str = "inference_completion")
 
 # ------------------------------------------------------------ plug-in judges
 def with_judge(
-    df: DataFrame, fn: Callable[[dict], dict], fields: T.StructType, max_in_flight: int = 64, error: str = "grading_error"
+    df: DataFrame, fn: Callable[[dict], dict], fields: str, max_in_flight: int = 64, error: str = "grading_error"
 ) -> DataFrame:
     """Call ``fn`` on every row with at most ``max_in_flight`` open calls per task.
 
-    ``fn`` gets the row as a dict and returns the values of ``fields``. An
+    ``fn`` gets the row as a dict and returns the values of ``fields``
+    (DDL text). An
     exception becomes the row's error text and never fails the job.
     """
-    names = fields.fieldNames()
-    schema = T.StructType([*df.schema.fields, *fields.fields, T.StructField(error, T.StringType())])
+    added = T.StructType.fromDDL(fields)
+    names = added.fieldNames()
+    schema = T.StructType([*df.schema.fields, *added.fields, T.StructField(error, T.StringType())])
 
     def call(row: dict) -> dict:
         try:

@@ -30,6 +30,11 @@ def _analysis(modality: str) -> Column:
     return F.coalesce(items, F.array().cast("array<struct<requirement:string,status:string,explanation:string>>"))
 
 
+def _equals(text: str, field: str | None = None):
+    """Predicate for one array element (a closure, as extra lambda arguments would mean the index)."""
+    return lambda x: (x[field] if field else x) == text
+
+
 def explode_requirements(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, kind, idx, requirement) rows of both lists, in one pass."""
 
@@ -129,7 +134,7 @@ def positional_breakdown(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
             ),
         )
         for name in ("positive_correct", "positive_incorrect", "negative_correct", "negative_incorrect"):
-            out.append(F.size(F.filter(marks, lambda x, name=name: x == name)).alias(f"{m}_{name}"))
+            out.append(F.size(F.filter(marks, _equals(name))).alias(f"{m}_{name}"))
     return docs.select(*keys, n_all.alias("total_requirements"), *out)
 
 
@@ -149,12 +154,11 @@ def drop_invalid_items(docs: DataFrame, keys: Sequence[str] = KEYS) -> tuple[Dat
     def known(a: Column) -> Column:
         return F.array_contains(valid, F.coalesce(a["requirement"], F.lit("")))
 
-    log_rows = F.concat(
-        *[
-            F.transform(F.filter(_analysis(m), lambda a: ~known(a)), lambda a, m=m: F.struct(F.lit(m).alias("modality"), F.coalesce(a["requirement"], F.lit("")).alias("requirement")))
-            for m in MODALITIES
-        ]
-    )
+    def removed(m: str) -> Column:
+        gone = F.filter(_analysis(m), lambda a: ~known(a))
+        return F.transform(gone, lambda a: F.struct(F.lit(m).alias("modality"), F.coalesce(a["requirement"], F.lit("")).alias("requirement")))
+
+    log_rows = F.concat(*[removed(m) for m in MODALITIES])
     log = docs.select(*keys, "poster_name", F.inline(log_rows)).withColumns(
         {"type": F.lit("invalid_requirement"), "action": F.lit("removed")}
     )
@@ -228,7 +232,7 @@ def find_irregularities(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 
     def mismatch(m: str) -> Column:
         whole = F.col(f"{m}_fulfillment")
-        actual = [F.size(F.filter(_analysis(m), lambda a, s=s: a["status"] == s)) for s in C.STATUSES]
+        actual = [F.size(F.filter(_analysis(m), _equals(s, "status"))) for s in C.STATUSES]
         stored = [F.coalesce(whole["scores"][s.lower()], F.lit(0)) for s in C.STATUSES]
         differs = F.lit(False)
         for a, s in zip(actual, stored, strict=True):

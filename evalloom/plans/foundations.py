@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from evalloom.functions import seeded, text
 from evalloom.operators import positions
@@ -131,7 +130,7 @@ def _(spark, sf):
     docs = table(spark, sf, "orders").select(F.to_json(F.struct(F.create_map(F.concat(F.lit("o"), "o_orderkey"), record).alias("posters"))).alias("value"))
     path = scratch(spark)
     docs.write.text(path)
-    schema = StructType.fromDDL("doc string, status string, priority string")
+    schema = "doc string, status string, priority string"
     return readers.read_keyed_documents(spark, path, "posters", schema, one_per_line=True).drop("file")
 
 
@@ -215,7 +214,7 @@ def _(spark, sf):
     rows = table(spark, sf, "events").select(F.col("event_id").alias("sample_id"), "event_type")
     for i in range(3):
         writers.write_jsonl(rows.filter(F.col("sample_id") % 3 == i), f"{root}/shard_{i * 5}/run/results.jsonl")
-    back = readers.read_shards(spark, root, "run", "results.jsonl", StructType.fromDDL("sample_id long, event_type string"))
+    back = readers.read_shards(spark, root, "run", "results.jsonl", "sample_id long, event_type string")
     return back.select("sample_id", "event_type", "shard")
 
 

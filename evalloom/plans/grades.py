@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from evalloom.operators import detections, grading, images
 from evalloom.plans.common import derive, duck, stripped, table
@@ -149,7 +148,7 @@ def _first_letter(row: dict) -> dict:
     from (select o_orderkey, {stripped('inference_completion')} as c from ({duck(ANSWERS)}))""")
 def _(spark, sf):
     df = derive(spark, sf, ANSWERS).select("o_orderkey", "inference_completion")
-    judged = grading.with_judge(df, _first_letter, StructType.fromDDL("judge_key string"), 4)
+    judged = grading.with_judge(df, _first_letter, "judge_key string", 4)
     return filled(judged, "judge_key", "grading_error").drop("inference_completion")
 
 

@@ -40,16 +40,15 @@ def read_lines(spark: SparkSession, path: str, drop_blank: bool = True) -> DataF
 
 
 def read_keyed_documents(
-    spark: SparkSession, path: str, field: str, schema: T.StructType, one_per_line: bool = False
+    spark: SparkSession, path: str, field: str, schema: str, one_per_line: bool = False
 ) -> DataFrame:
     """``{field: {id: record}}`` or ``{field: [record]}`` -> one row per record, with ``doc_key`` and ``file``.
 
-    A document is one JSON value and is parsed by one task. Large collections
+    ``schema`` is the DDL text of a record. A document is one JSON value and is parsed by one task. Large collections
     should keep one document per line, which Spark can split.
     """
     doc = spark.read.text(path, wholetext=not one_per_line).select("value", F.col("_metadata.file_name").alias("file"))
-    by_id = T.StructType([T.StructField(field, T.MapType(T.StringType(), schema))])
-    by_list = T.StructType([T.StructField(field, T.ArrayType(schema))])
+    by_id, by_list = f"`{field}` map<string, struct<{schema}>>", f"`{field}` array<struct<{schema}>>"
     entries = F.coalesce(
         F.map_entries(F.from_json("value", by_id)[field]),
         F.transform(F.from_json("value", by_list)[field], lambda r, i: F.struct(i.cast("string").alias("key"), r.alias("value"))),
