@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evalloom.constants import IGNORE_ID
+from evalloom.functions.binding import bind
 from evalloom.functions.seeded import column
 
 
@@ -42,18 +43,27 @@ def truncate(arr: Column | str, n: int, side: str = "right") -> Column:
 
 def marker_end(arr: Column | str, marker: Sequence[int]) -> Column:
     """Number of ids up to the end of the first occurrence of ``marker``; NULL when absent."""
-    a, m = column(arr), len(marker)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(a) - m + 1, F.lit(1)))
-    at = F.array_position(F.transform(starts, lambda i: F.slice(a, i, F.lit(m)) == ids(marker)), F.lit(True))
-    return F.when(at > 0, at.cast("int") + m - 1)
+    m = len(marker)
+
+    def end(a: Column) -> Column:
+        starts = F.filter(
+            F.transform(a, lambda v, i: F.when((v == marker[0]) & (F.slice(a, i + 1, F.lit(m)) == ids(marker)), i)), lambda i: i.isNotNull()
+        )
+        return F.get(starts, F.lit(0)) + m
+
+    return bind(column(arr), end)
 
 
 def mask_before_marker(labels: Column | str, marker: Sequence[int], strict: bool = True) -> Column:
     """Ignore everything up to and including the first occurrence of a marker sub-sequence."""
-    a, end = column(labels), marker_end(labels, marker)
-    masked = F.transform(a, lambda v, i: F.when(i < end, F.lit(IGNORE_ID)).otherwise(v))
+    a = column(labels)
     absent = F.raise_error(F.lit("marker not found")).cast("array<int>") if strict else F.lit(None).cast("array<int>")
-    return F.when(end.isNotNull(), masked).otherwise(absent)
+
+    def masked(end: Column) -> Column:
+        kept = F.slice(a, end + 1, F.greatest(F.size(a) - end, F.lit(0)))
+        return F.when(end.isNotNull(), F.concat(repeated(IGNORE_ID, end), kept)).otherwise(absent)
+
+    return bind(marker_end(a, marker), masked)
 
 
 def swap_terminator(arr: Column | str, refuse: Column | str, end: int, other: int) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from evalloom import constants as C
 from evalloom.functions import text as X
+from evalloom.functions.binding import bind
 from evalloom.functions.seeded import column
 
 FROM_LETTER = "Recovered single option letter from non-single-letter answer"
@@ -54,20 +55,23 @@ def grade_letter_lenient(
     Tokens are searched in upper-cased text, so a one-letter word such as "a"
     counts as option A.
     """
-    raw, n = X.strip(completion), F.size(options)
-    upper = F.upper(raw)
-    exact = _in_range(upper, n)
-    words = F.split(upper, r"[^\p{L}\p{N}_]+")
-    letters = F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]$") & _in_range(w, n)))
-    text = F.concat(F.lit(" "), X.normalize_text(raw), F.lit(" "))
-
-    def found(v: Column) -> Column:
-        wanted = X.strip(X.normalize_text(v.cast("string")))
-        return (wanted != "") & text.contains(F.concat(F.lit(" "), wanted, F.lit(" ")))
-
-    marks = F.transform(F.col(options), lambda v, i: F.when(found(v), X.letter(i)))
-    hits = F.array_compact(marks)
-    staged = df.withColumns({"_exact": exact, "_upper": upper, "_letters": letters, "_hits": hits})
+    n = F.size(options)
+    staged = df.withColumn("_raw", X.strip(completion)).withColumn("_upper", F.upper("_raw"))
+    tokens = F.split("_upper", r"[^\p{L}\p{N}_]+")
+    letters = F.array_distinct(F.filter(tokens, lambda w: (F.length(w) == 1) & w.between("A", "Z") & _in_range(w, n)))
+
+    def hits(text: Column) -> Column:
+        def mark(v: Column, i: Column) -> Column:
+            wanted = X.strip(X.normalize_text(v.cast("string")))
+            return F.when((wanted != "") & text.contains(F.concat(F.lit(" "), wanted, F.lit(" "))), X.letter(i))
+
+        return F.array_compact(F.transform(F.col(options), mark))
+
+    text = F.concat(F.lit(" "), X.normalize_text("_raw"), F.lit(" "))
+    # option texts are searched only where letters leave the answer open
+    staged = staged.withColumns({"_exact": _in_range(F.col("_upper"), n), "_letters": letters})
+    open_ = ~F.col("_exact") & (F.size("_letters") != 1)
+    staged = staged.withColumn("_hits", F.when(open_, bind(text, hits)))
     one_letter, one_text = F.size("_letters") == 1, F.size("_hits") == 1
     key = F.when(F.col("_exact"), F.col("_upper")).when(one_letter, F.get("_letters", F.lit(0))).when(one_text, F.get("_hits", F.lit(0)))
     problem = F.when(F.col("_exact"), _null()).when(one_letter, FROM_LETTER).when(one_text, FROM_TEXT).otherwise(UNCLEAR)
@@ -78,7 +82,7 @@ def grade_letter_lenient(
             "grading_format_error": problem,
             "grading_correct": key.eqNullSafe(F.col(expected)),
         }
-    ).drop("_exact", "_upper", "_letters", "_hits")
+    ).drop("_raw", "_upper", "_exact", "_letters", "_hits")
 
 
 # ------------------------------------------------------------ judge verdicts
@@ -87,8 +91,8 @@ def _json_type(c: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), path, "variant"))
 
 
-def _has_exact_keys(c: Column, keys: Sequence[str]) -> Column:
-    found = F.array_distinct(F.json_object_keys(c))
+def _exactly(found: Column, keys: Sequence[str]) -> Column:
+    """A list of distinct keys holds these and no others."""
     wanted = F.array(*[F.lit(k) for k in keys])
     return (F.size(found) == len(keys)) & (F.size(F.array_except(found, wanted)) == 0)
 
@@ -96,28 +100,33 @@ def _has_exact_keys(c: Column, keys: Sequence[str]) -> Column:
 def parse_mc_verdict(df: DataFrame, json_col: str, options: str = "options") -> DataFrame:
     """Judge JSON with exactly ``answer_key`` and ``format_error``, one of them set; else a technical error."""
     c = F.col(json_col)
-    body = F.from_json(c, "answer_key string, format_error string")
-    key, problem = body["answer_key"], body["format_error"]
-    kinds = [_json_type(c, "$.answer_key"), _json_type(c, "$.format_error")]
-    text_or_null = reduce(lambda a, b: a & b, [F.coalesce(k, F.lit("VOID")).isin("STRING", "VOID") for k in kinds])
+    parsed = df.withColumns(
+        {
+            "_body": F.from_json(c, "answer_key string, format_error string"),
+            "_keys": F.array_distinct(F.json_object_keys(c)),
+            "_kinds": F.array(_json_type(c, "$.answer_key"), _json_type(c, "$.format_error")),
+        }
+    )
+    key, problem, keys = F.col("_body.answer_key"), F.col("_body.format_error"), F.col("_keys")
+    odd = F.exists("_kinds", lambda k: ~k.isin("STRING", "VOID"))
     error = (
-        F.when(F.try_parse_json(c).isNull() | F.json_object_keys(c).isNull(), "not a JSON object")
-        .when(~_has_exact_keys(c, ["answer_key", "format_error"]), "invalid verdict keys")
+        F.when(keys.isNull(), "not a JSON object")
+        .when(~_exactly(keys, ["answer_key", "format_error"]), "invalid verdict keys")
         .when(key.isNull() & problem.isNull(), "no verdict values")
-        .when(~text_or_null, "invalid verdict types")
+        .when(F.coalesce(odd, F.lit(False)), "invalid verdict types")
         .when(key.isNotNull() & ~_in_range(key, F.size(options)), "invalid answer key")
         .when(key.isNotNull() & problem.isNotNull(), "both verdict values set")
     )
-    staged = df.withColumns({"_key": key, "_problem": problem, "_error": error})
+    staged = parsed.withColumn("_error", error)
     fine = F.col("_error").isNull()
     return staged.withColumns(
         {
-            "grading_answer_key": F.when(fine, F.col("_key")),
+            "grading_answer_key": F.when(fine, key),
             "grading_format_correct": F.lit(False),
-            "grading_format_error": F.when(fine, F.col("_problem")),
+            "grading_format_error": F.when(fine, problem),
             "grading_error": F.col("_error"),
         }
-    ).drop("_key", "_problem", "_error")
+    ).drop("_body", "_keys", "_kinds", "_error")
 
 
 def parse_attribute_verdict(df: DataFrame, json_col: str, vocab: Mapping[str, Mapping[str, str]]) -> DataFrame:
@@ -126,7 +135,7 @@ def parse_attribute_verdict(df: DataFrame, json_col: str, vocab: Mapping[str, Ma
     ``vocab`` is {attribute: {key: text}}. One invalid value fails the row.
     """
     body = F.from_json(json_col, "map<string,string>")
-    staged = df.withColumn("_body", body)
+    staged = df.withColumns({"_body": body, "_keys": F.array_distinct(F.json_object_keys(json_col))})
     named, invalid = [], []
     for attr, options in vocab.items():
         value = F.regexp_replace(F.try_element_at("_body", F.lit(attr)), r"^`+|`+\z", "")
@@ -135,13 +144,13 @@ def parse_attribute_verdict(df: DataFrame, json_col: str, vocab: Mapping[str, Ma
         invalid.append(F.when(value.isNotNull() & key.isNull(), value))
     bad = F.coalesce(*invalid)
     error = (
-        F.when(F.json_object_keys(json_col).isNull(), "not a JSON object")
-        .when(~_has_exact_keys(F.col(json_col), list(vocab)), "invalid attribute keys")
+        F.when(F.col("_keys").isNull(), "not a JSON object")
+        .when(~_exactly(F.col("_keys"), list(vocab)), "invalid attribute keys")
         .when(bad.isNotNull(), F.concat(F.lit("Invalid attribute value: "), bad))
     )
     staged = staged.withColumns({"_map": F.create_map(*named), "grading_error": error})
     fine = F.col("grading_error").isNull()
-    return staged.withColumn("grading_inferred_attributes", F.when(fine, F.col("_map"))).drop("_body", "_map")
+    return staged.withColumn("grading_inferred_attributes", F.when(fine, F.col("_map"))).drop("_body", "_keys", "_map")
 
 
 def parse_enum_verdict(df: DataFrame, json_col: str, allowed: Sequence[str] = tuple(C.VERDICTS), field: str = "verdict") -> DataFrame:
@@ -160,25 +169,26 @@ def parse_judge_scores(
     df: DataFrame, col: str, defaults: Mapping[str, float] = C.NO_SCORES, name: str = "comparison"
 ) -> DataFrame:
     """Free text around a JSON answer -> struct(textual_analysis, scores); zero scores and a reason on any failure."""
-    block = X.escape_newlines_in_strings(X.json_block(col))
-    body = F.from_json(block, "textual_analysis string, scores map<string,double>")
-    keys = F.json_object_keys(block)
+    staged = df.withColumn("_block", X.escape_newlines_in_strings(X.json_block(col)))
+    parsed = F.from_json("_block", "textual_analysis string, scores map<string,double>")
+    staged = staged.withColumns({"_body": parsed, "_keys": F.json_object_keys("_block")})
+    body, keys = F.col("_body"), F.col("_keys")
     zero = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(float(v)))])
     reason = (
         F.when(F.col(col).isNull() | (F.col(col) == ""), "no response")
-        .when(F.try_parse_json(block).isNull() | keys.isNull(), "response is not a JSON object")
+        .when(keys.isNull(), "response is not a JSON object")
         .when(~F.array_contains(keys, "textual_analysis") | ~F.array_contains(keys, "scores"), F.concat(F.lit("Invalid response structure: "), F.substring(col, 1, 500), F.lit("...")))
         .when(body["scores"].isNull(), "scores are not numbers")
     )
-    failed = reason.isNotNull()
-    return df.withColumn(
+    failed = F.col("_reason").isNotNull()
+    return staged.withColumn("_reason", reason).withColumn(
         name,
         F.struct(
-            F.when(failed, reason).otherwise(body["textual_analysis"]).alias("textual_analysis"),
+            F.when(failed, F.col("_reason")).otherwise(body["textual_analysis"]).alias("textual_analysis"),
             F.when(failed, zero).otherwise(body["scores"]).alias("scores"),
             failed.alias("failed"),
         ),
-    )
+    ).drop("_block", "_body", "_keys", "_reason")
 
 
 def match_attributes(df: DataFrame, attrs: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
+from evalloom.functions.binding import bind
 from evalloom.functions.seeded import column
 from evalloom.operators.joins import fulfilment_join
 from evalloom.operators.metrics import mean_sem, two_level_mean_sem
@@ -35,6 +36,11 @@ def _equals(text: str, field: str | None = None):
     return lambda x: (x[field] if field else x) == text
 
 
+def _counts_of(names: Sequence[str]):
+    """struct of how often each name occurs in an array of names."""
+    return lambda marks: F.struct(*[F.size(F.filter(marks, _equals(n))).alias(n) for n in names])
+
+
 def explode_requirements(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, kind, idx, requirement) rows of both lists, in one pass."""
 
@@ -133,9 +139,10 @@ def positional_breakdown(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
                 F.concat(F.when(i < n_pos, "positive").otherwise("negative"), F.when(a["status"] == "CORRECT", "_correct").otherwise("_incorrect")),
             ),
         )
-        for name in ("positive_correct", "positive_incorrect", "negative_correct", "negative_incorrect"):
-            out.append(F.size(F.filter(marks, _equals(name))).alias(f"{m}_{name}"))
-    return docs.select(*keys, n_all.alias("total_requirements"), *out)
+        names = ("positive_correct", "positive_incorrect", "negative_correct", "negative_incorrect")
+        out.append(bind(marks, _counts_of(names)).alias(f"_{m}"))
+    flat = [F.col(f"_{m}.{n}").alias(f"{m}_{n}") for m in MODALITIES for n in names]
+    return docs.select(*keys, n_all.alias("total_requirements"), *out).select(*keys, "total_requirements", *flat)
 
 
 def share_pct(part: Column, whole: Column) -> Column:
@@ -151,12 +158,19 @@ def drop_invalid_items(docs: DataFrame, keys: Sequence[str] = KEYS) -> tuple[Dat
     """(documents without graded items that are in neither list, log of removals)."""
     valid = F.concat(_list("positive_requirements"), _list("negative_requirements"))
 
-    def known(a: Column) -> Column:
-        return F.array_contains(valid, F.coalesce(a["requirement"], F.lit("")))
+    def text(a: Column) -> Column:
+        return F.coalesce(a["requirement"], F.lit(""))
+
+    def split(m: str, keep: bool) -> Column:
+        """Known or unknown items; the set difference is hashed, so this is linear for few unknown texts."""
+
+        def pick(unknown: Column) -> Column:
+            return F.filter(_analysis(m), lambda a: F.array_contains(unknown, text(a)) != F.lit(keep))
+
+        return bind(F.array_except(F.transform(_analysis(m), text), valid), pick)
 
     def removed(m: str) -> Column:
-        gone = F.filter(_analysis(m), lambda a: ~known(a))
-        return F.transform(gone, lambda a: F.struct(F.lit(m).alias("modality"), F.coalesce(a["requirement"], F.lit("")).alias("requirement")))
+        return F.transform(split(m, False), lambda a: F.struct(F.lit(m).alias("modality"), text(a).alias("requirement")))
 
     log_rows = F.concat(*[removed(m) for m in MODALITIES])
     log = docs.select(*keys, "poster_name", F.inline(log_rows)).withColumns(
@@ -165,32 +179,31 @@ def drop_invalid_items(docs: DataFrame, keys: Sequence[str] = KEYS) -> tuple[Dat
     fixed = docs
     for m in MODALITIES:
         s, items = f"{m}_fulfillment", f"{m}_fulfillment_analysis"
-        fixed = fixed.withColumn(s, F.when(F.col(s).isNotNull(), F.col(s).withField(items, F.filter(_analysis(m), known))))
+        fixed = fixed.withColumn(s, F.when(F.col(s).isNotNull(), F.col(s).withField(items, split(m, True))))
     return fixed, log
 
 
 def _scores(m: str) -> Column:
     pos, neg = _list("positive_requirements"), _list("negative_requirements")
-    marks = F.transform(
-        _analysis(m),
-        lambda a: F.struct(
-            F.upper(F.coalesce(a["status"], F.lit(""))).alias("status"),
-            F.when(F.array_contains(pos, F.coalesce(a["requirement"], F.lit(""))), "positive")
-            .when(F.array_contains(neg, F.coalesce(a["requirement"], F.lit(""))), "negative")
-            .otherwise("neither")
-            .alias("kind"),
-        ),
-    )
+    parts = [("positive", "correct"), ("positive", "incorrect"), ("positive", "missing"), ("negative", "correct"), ("negative", "incorrect")]
 
-    def n(status: str, kind: str | None = None) -> Column:
-        return F.size(F.filter(marks, lambda x: (x["status"] == status) & ((x["kind"] == kind) if kind else F.lit(True))))
+    def marked(positive: Column) -> Column:
+        def mark(a: Column) -> Column:
+            text = F.coalesce(a["requirement"], F.lit(""))
+            kind = F.when(F.array_contains(positive, text), "positive").when(F.array_contains(neg, text), "negative").otherwise("neither")
+            return F.concat_ws("_", kind, F.lower(F.coalesce(a["status"], F.lit(""))))
 
-    total = n("CORRECT") + n("INCORRECT") + n("MISSING")
-    flat = [e for s in C.STATUSES for e in (n(s).alias(s.lower()), share_pct(n(s), total).alias(f"{s.lower()}_pct"))]
-    parts = F.struct(
-        *[n(s.upper(), k).alias(f"{k}_{s}") for k, s in (("positive", "correct"), ("positive", "incorrect"), ("positive", "missing"), ("negative", "correct"), ("negative", "incorrect"))]
-    )
-    return F.struct(*flat, parts.alias("positive_negative_breakdown"))
+        return F.transform(_analysis(m), mark)
+
+    names = [f"{k}_{s.lower()}" for s in C.STATUSES for k in ("positive", "negative", "neither")]
+
+    def shaped(c: Column) -> Column:
+        sums = {s: c[f"positive_{s}"] + c[f"negative_{s}"] + c[f"neither_{s}"] for s in map(str.lower, C.STATUSES)}
+        total = sum(sums.values(), F.lit(0))
+        flat = [e for s, n in sums.items() for e in (n.alias(s), share_pct(n, total).alias(f"{s}_pct"))]
+        return F.struct(*flat, F.struct(*[c[f"{k}_{s}"].alias(f"{k}_{s}") for k, s in parts]).alias("positive_negative_breakdown"))
+
+    return bind(bind(bind(pos, marked), _counts_of(names)), shaped)
 
 
 def recompute_scores(docs: DataFrame) -> DataFrame:
@@ -221,7 +234,7 @@ def find_irregularities(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     """
     pos, neg = _list("positive_requirements"), _list("negative_requirements")
     both = F.concat(pos, neg)
-    again = F.filter(both, lambda x, i: F.array_contains(F.slice(both, F.lit(1), i), x))
+    again = bind(F.array_sort(both), lambda a: F.filter(a, lambda x, i: (i > 0) & (x == F.get(a, i - 1))))
     graded = [F.transform(_analysis(m), lambda a: F.coalesce(a["requirement"], F.lit(""))) for m in MODALITIES]
     ungraded = F.array_sort(F.array_except(F.array_except(both, graded[0]), graded[1]))
     nothing = F.array().cast("array<string>")
@@ -241,6 +254,9 @@ def find_irregularities(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
         detail = F.concat(F.lit("actual "), text(actual), F.lit(" stored "), text(stored))
         return finding(whole.isNotNull() & differs, f"{m}_score_mismatch", "fixed", detail=detail)
 
+    # helper columns are used more than once, so each is evaluated once
+    docs = docs.withColumns({"_again": again, "_ungraded": ungraded})
+    again, ungraded = F.col("_again"), F.col("_ungraded")
     found = F.array_compact(
         F.array(
             finding(F.col("positive_requirements").isNull(), "missing_positive_requirements", "warning"),
