@@ -32,6 +32,13 @@ def option_lists(df: DataFrame, group: str | Sequence[str], value: str, name: st
     return df.groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
+def with_group_lists(df: DataFrame, group: str, columns: Sequence[str], name: str = "_group") -> DataFrame:
+    """Every row with the sorted list of its group (at most 26 rows): one shuffle, no self-join."""
+    check_option_counts(df, group)
+    lists = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    return lists.select(group, name, F.inline(name))
+
+
 def _question(template: str, options: Column, **fields) -> Column:
     return X.render_prompt(template, options=X.render_options(options), **fields)
 
@@ -39,15 +46,12 @@ def _question(template: str, options: Column, **fields) -> Column:
 # ---------------------------------------------------------------- code names
 def mc_lookup(code_map: DataFrame, seed: int) -> DataFrame:
     """Both directions over a (type, value, code) table; options are all values of the type, shuffled per question."""
-    check_option_counts(code_map, "type")
-    lists = code_map.groupBy("type").agg(
-        F.array_sort(F.collect_list("value")).alias("_values"), F.array_sort(F.collect_list("code")).alias("_codes")
-    )
+    q = with_group_lists(code_map, "type", ["value", "code"])
     both = F.array(
-        F.struct(F.lit(False).alias("is_synthetic_query"), F.col("value").alias("query"), F.col("code").alias("answer"), F.col("_codes").alias("pool")),
-        F.struct(F.lit(True).alias("is_synthetic_query"), F.col("code").alias("query"), F.col("value").alias("answer"), F.col("_values").alias("pool")),
+        F.struct(F.lit(False).alias("is_synthetic_query"), F.col("value").alias("query"), F.col("code").alias("answer"), F.transform("_group", lambda g: g["code"]).alias("pool")),
+        F.struct(F.lit(True).alias("is_synthetic_query"), F.col("code").alias("query"), F.col("value").alias("answer"), F.transform("_group", lambda g: g["value"]).alias("pool")),
     )
-    q = code_map.join(lists, "type").select("type", "value", "code", F.inline(both))
+    q = q.select("type", "value", "code", F.inline(both))
     q = q.withColumn("options", shuffle_array("pool", seed, "type", "value", "is_synthetic_query"))
     return q.select(
         _question(C.ASK_MATCH, F.col("options"), query="query").alias("prompt"),

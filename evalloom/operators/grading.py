@@ -69,7 +69,8 @@ def grade_letter_lenient(
 
     text = F.concat(F.lit(" "), X.normalize_text("_raw"), F.lit(" "))
     # option texts are searched only where letters leave the answer open
-    staged = staged.withColumns({"_exact": _in_range(F.col("_upper"), n), "_letters": letters})
+    staged = staged.withColumn("_exact", _in_range(F.col("_upper"), n))
+    staged = staged.withColumn("_letters", F.when(~F.col("_exact"), letters))
     open_ = ~F.col("_exact") & (F.size("_letters") != 1)
     staged = staged.withColumn("_hits", F.when(open_, bind(text, hits)))
     one_letter, one_text = F.size("_letters") == 1, F.size("_hits") == 1

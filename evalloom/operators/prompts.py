@@ -196,10 +196,10 @@ def inference_prompts(df: DataFrame, attrs: Sequence[str], prefix: str = "synthe
 # --------------------------------------------------------------- text rows
 def codebook_text(code_map: DataFrame) -> DataFrame:
     """Six templated question/answer rows per code name."""
-    from evalloom.operators.choices import option_lists
+    from evalloom.operators.choices import with_group_lists
 
-    lists = option_lists(code_map, "type", "value", "_values")
-    fields = {"type": F.col("type"), "value": F.col("value"), "code": F.col("code"), "options": F.array_join("_values", ", ")}
+    values = F.array_join(F.transform("_group", lambda g: g["value"]), ", ")
+    fields = {"type": F.col("type"), "value": F.col("value"), "code": F.col("code"), "options": F.col("_options")}
     rows = F.array(
         *[
             F.struct(
@@ -210,7 +210,7 @@ def codebook_text(code_map: DataFrame) -> DataFrame:
             for q, a, task in C.CODEBOOK_ROWS
         ]
     )
-    return code_map.join(lists, "type").select(F.inline(rows))
+    return with_group_lists(code_map, "type", ["value", "code"]).withColumn("_options", values).select(F.inline(rows))
 
 
 def composition_text(df: DataFrame, split: str, order: Sequence[str], attrs: Sequence[str] = ("color", "pattern", "position", "shape")) -> DataFrame:

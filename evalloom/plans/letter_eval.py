@@ -19,14 +19,15 @@ KINDS = 10
 def answered(questions: DataFrame, seed: int) -> DataFrame:
     """Deterministic stand-in answers of every run to every question."""
     q = questions.withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-    roll = F.pmod(seeded_int(seed, "run_id", "concept_value", "is_synthetic_query"), F.lit(KINDS))
+    q = q.withColumn("_roll", F.pmod(seeded_int(seed, "run_id", "concept_value", "is_synthetic_query"), F.lit(KINDS)))
+    roll = F.col("_roll")
     right = F.get("options", F.array_position("options", F.when(F.col("is_synthetic_query"), F.col("concept_value")).otherwise(F.col("concept_value_synthetic"))).cast("int") - 1)
     completion = (
         F.when(roll < 4, F.concat(F.lower("expected_key"), F.lit("\n")))
         .when(roll == 4, "A").when(roll == 5, F.concat(F.lit("The answer is "), "expected_key", F.lit(".")))
         .when(roll == 6, "Z").when(roll == 7, F.concat(F.lit("I choose "), right)).when(roll == 8, "no idea, sorry").otherwise("")
     )
-    return q.withColumn("inference_completion", completion)
+    return q.withColumn("inference_completion", completion).drop("_roll")
 
 
 def graded(df: DataFrame) -> DataFrame:

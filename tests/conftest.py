@@ -18,6 +18,7 @@ def session():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
     )
