@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
-from evalloom.context import broadcast_if_small
+from evalloom.context import broadcast_if_small, one_row
 from evalloom.functions import text as X
 from evalloom.functions.seeded import column, seeded_int, seeded_key, shuffle_array
 from evalloom.operators.positions import global_index
@@ -80,8 +80,7 @@ def mc_value_to_type(code_map: DataFrame, seed: int) -> DataFrame:
     one = one.select(
         F.when(F.size("_types") <= LETTERS, F.col("_types")).otherwise(F.raise_error(F.lit("more than 26 types"))).alias("_types")
     )
-    # the one-row list joins on a constant, so the map keeps its partitions
-    q = code_map.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    q = code_map.withColumn("_types", one_row(one)["_types"])
     q = _both_names(q.withColumn("options", shuffle_array("_types", seed, "value", F.lit("forward"))))
     return q.select(
         _question(C.ASK_TYPE, F.col("options"), query="query").alias("prompt"),
@@ -116,8 +115,8 @@ def sample_distractors(
         whole = spans.groupBy(within).agg(F.min("_start").alias("_base"), F.sum("_own").alias("_total"))
         spans = spans.join(whole, within)
     else:
-        whole = spans.agg(F.min("_start").alias("_base"), F.sum("_own").alias("_total")).withColumn("_one", F.lit(1))
-        spans = spans.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").drop("_one")
+        whole = placed.agg(F.min("_pos").alias("_base"), F.count(F.lit(1)).alias("_total"))
+        spans = spans.withColumn("_whole", one_row(whole)).select("*", "_whole._base", "_whole._total").drop("_whole")
     rest = F.col("_total") - F.col("_own")
     lo, hi = F.floor(rest * F.col("_j") / n), F.floor(rest * (F.col("_j") + 1) / n)
     offset = lo + F.pmod(seeded_int(seed, *w, key, "_j"), hi - lo)

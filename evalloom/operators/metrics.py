@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
+from evalloom.context import one_row
 from evalloom.functions.seeded import column
 from evalloom.functions.text import model_of_run
 from evalloom.operators.joins import ATTRS
@@ -239,9 +240,6 @@ def run_summary(text: DataFrame, image: DataFrame, run: str, cases: DataFrame |
         "per_attribute_image_text_accuracy": per_attribute_modality(text, image),
         "cases": case_totals(case_table(image, text, run) if cases is None else cases),
     }
-    folded = [
-        df.groupBy().agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name)).withColumn("_one", F.lit(1))
-        for name, df in tables.items()
-    ]
-    joined = reduce(lambda a, b: a.join(F.broadcast(b), "_one"), folded)
-    return joined.select(F.lit(run).alias("run"), *tables)
+    folded = {n: one_row(df.groupBy().agg(F.array_sort(F.collect_list(F.struct("*"))).alias("rows"))) for n, df in tables.items()}
+    one = text.sparkSession.range(1)
+    return one.select(F.lit(run).alias("run"), *[row["rows"].alias(n) for n, row in folded.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
-from evalloom.context import broadcast_if_small
+from evalloom.context import broadcast_if_small, one_row
 from evalloom.functions import text as X
 from evalloom.functions.seeded import shuffle_array
 from evalloom.operators.positions import global_index, index_by_key, sample_exact, sample_two_way
@@ -234,9 +234,7 @@ def anchor_rows(code_map: DataFrame, defaults: Mapping[str, str] = C.ANCHOR_DEFA
     )
     code_of = code_map.select(F.col("type").alias("_t"), F.col("value").alias("_v"), F.col("code").alias("_c"))
     default_code = {a: code_of.filter((F.col("_t") == a) & (F.col("_v") == d)).select(F.max("_c").alias(f"_d_{a}")) for a, d in defaults.items()}
-    row = row.withColumn("_one", F.lit(1))
-    for a, one in default_code.items():
-        row = row.join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    row = row.withColumns({f"_d_{a}": one_row(one)[f"_d_{a}"] for a, one in default_code.items()})
     rest = [F.when(F.col("type") != a, F.concat(F.lit(f"{a}="), F.col(a))) for a in attrs]
     parts = F.concat_ws(", ", F.concat("type", F.lit("="), "code"), *rest)
     return row.select(

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.context import one_row
 from evalloom.operators.joins import remaining
 from evalloom.operators.positions import global_index, index_by_key
 
@@ -50,18 +51,17 @@ def recover_and_split(
 
 
 def split_manifest(plan: DataFrame, recovered: DataFrame, rest: DataFrame, n: int) -> DataFrame:
+    n_rows = F.count(F.lit(1))
     counts = rest.groupBy().agg(
-        F.count(F.lit(1)).alias("remaining_rows"),
-        F.array(*[F.count_if(F.col("shard") == i) for i in range(n)]).alias("residual_counts"),
+        n_rows.alias("remaining_rows"), F.array(*[F.count_if(F.col("shard") == i) for i in range(n)]).alias("residual_counts")
+    )
+    return counts.select(
+        one_row(plan.groupBy().agg(n_rows.alias("n")))["n"].alias("total_rows"),
+        one_row(recovered.groupBy().agg(n_rows.alias("n")))["n"].alias("recovered_rows"),
+        "remaining_rows",
+        F.lit(n).alias("num_residual_shards"),
+        "residual_counts",
     )
-    one = [
-        plan.groupBy().agg(F.count(F.lit(1)).alias("total_rows")),
-        recovered.groupBy().agg(F.count(F.lit(1)).alias("recovered_rows")),
-        counts.withColumn("num_residual_shards", F.lit(n)),
-    ]
-    tagged = [df.withColumn("_one", F.lit(1)) for df in one]
-    joined = reduce(lambda a, b: a.join(F.broadcast(b), "_one"), tagged)
-    return joined.select("total_rows", "recovered_rows", "remaining_rows", "num_residual_shards", "residual_counts")
 
 
 def check_complete(plan: DataFrame, results: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from evalloom.operators import joins, metrics, rubrics, sequences, shards, tabul
 
 
 def rows(df, *cols):
-    return sorted(tuple(r) for r in df.select(*cols).collect())
+    return sorted(tuple(r) for r in (df.select(*cols) if cols else df).collect())
 
 
 # ----------------------------------------------------------------- metrics
