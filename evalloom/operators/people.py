@@ -63,11 +63,13 @@ def sample_unique_names(
     repeats, ten draws per wanted name pick one position in each list and equal
     full names are kept once, in draw order.
     """
-    firsts = index_by_key(first.filter(F.col("gender") == gender).select(F.col("name").alias("first_name")), f"{seed}-{gender}-first", "first_name", "_pos")
-    lasts = index_by_key(last.select(F.col("name").alias("last_name")), f"{seed}-{gender}-last", "last_name", "_pos")
+    below = None if allow_dup_parts else n
+    own = first.filter(F.col("gender") == gender).select(F.col("name").alias("first_name"))
+    firsts = index_by_key(own, f"{seed}-{gender}-first", "first_name", "_pos", below=below)
+    lasts = index_by_key(last.select(F.col("name").alias("last_name")), f"{seed}-{gender}-last", "last_name", "_pos", below=below)
     full = F.concat_ws(" ", "first_name", "last_name").alias("name")
     if not allow_dup_parts:
-        names = firsts.filter(F.col("_pos") < n).join(lasts.filter(F.col("_pos") < n), "_pos").select(F.col("_pos").alias("pos"), full)
+        names = firsts.join(lasts, "_pos").select(F.col("_pos").alias("pos"), full)
     else:
         n_first, n_last = firsts.count(), lasts.count()
         draws = first.sparkSession.range(10 * n).select(

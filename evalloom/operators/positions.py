@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evalloom.context import materialized
 from evalloom.functions.seeded import column, seeded_key
 
-TOP_K_ROWS = 100_000
 GOLDEN = 0.6180339887498949
 
 
@@ -22,7 +21,8 @@ def _running_start(counts: DataFrame, by: str, within: str | None = None) -> Dat
 
 
 def index_by_key(
-    df: DataFrame, seed: int | str, key: str | Sequence[str], name: str = "pos", digits: int = 4, within: str | None = None
+    df: DataFrame, seed: int | str, key: str | Sequence[str], name: str = "pos", digits: int = 4, within: str | None = None,
+    below: int | None = None,
 ) -> DataFrame:
     """0-based position in seeded random order; ``key`` must identify a row.
 
@@ -32,6 +32,8 @@ def index_by_key(
     16^digits rows (65,536 by default), a fixed bound for the broadcast. With
     ``within`` positions restart per group; the starts then grow with the
     groups, so they are joined on the key the rows are partitioned by anyway.
+    ``below`` keeps the first positions only: buckets that start later are
+    dropped before the shuffle, so little more than the wanted rows moves.
     """
     if not 1 <= digits <= 5:
         raise ValueError("digits must be between 1 and 5")
@@ -39,12 +41,15 @@ def index_by_key(
     w = [within] if within else []
     keyed = df.withColumn("_okey", seeded_key(seed, *w, *keys)).withColumn("_bucket", F.substring("_okey", 1, digits))
     starts = _running_start(keyed.groupBy(*w, "_bucket").agg(F.count(F.lit(1)).alias("_n")), "_bucket", within)
+    if below is not None:
+        starts = starts.filter(F.col("_start") < below)
     inside = F.row_number().over(Window.partitionBy(*w, "_bucket").orderBy("_okey", *keys))
-    return (
+    placed = (
         keyed.join(starts if within else F.broadcast(starts), [*w, "_bucket"])
         .withColumn(name, F.col("_start") + inside - 1)
         .drop("_bucket", "_okey", "_start")
     )
+    return placed if below is None else placed.filter(F.col(name) < below)
 
 
 def global_index(df: DataFrame, order: Sequence, name: str = "pos") -> DataFrame:
@@ -69,11 +74,13 @@ def _need(df: DataFrame, n: int) -> None:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame:
-    """Exactly ``n`` rows without replacement; fewer available rows are an error."""
+    """Exactly ``n`` rows without replacement; fewer available rows are an error.
+
+    A sort with a limit would send ``n`` rows of every partition to one task;
+    here the hash buckets that can hold the first ``n`` rows are known first.
+    """
     _need(df, n)
-    if n <= TOP_K_ROWS:
-        return df.orderBy(seeded_key(seed, key), key).limit(n)
-    return index_by_key(df, seed, key, "_pos").filter(F.col("_pos") < n).drop("_pos")
+    return index_by_key(df, seed, key, "_pos", below=n).drop("_pos")
 
 
 def sample_two_way(
@@ -81,11 +88,9 @@ def sample_two_way(
 ) -> DataFrame:
     """One draw of both sizes without replacement: ``first`` and ``second`` never overlap."""
     total = n_first + n_second
-    drawn = sample_exact(df, total, seed, key) if total <= TOP_K_ROWS else df
-    if drawn is df:
-        _need(df, total)
+    _need(df, total)
     part = F.when(F.col("_pos") < n_first, "first").otherwise("second")
-    return index_by_key(drawn, seed, key, "_pos").filter(F.col("_pos") < total).withColumn(name, part).drop("_pos")
+    return index_by_key(df, seed, key, "_pos", below=total).withColumn(name, part).drop("_pos")
 
 
 def shuffle_rows(df: DataFrame, seed: int | str, key: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.context import broadcast_if_small
 from evalloom.functions.seeded import column, seeded_int
 from evalloom.functions.text import strip
 
@@ -182,7 +183,7 @@ def patch_known_rows(
     match = F.filter("_patches", lambda p: F.col(text).startswith(p["prefix"]))
     hit = F.when(F.col(error).isNotNull(), F.try_element_at(match, F.lit(1))["value"])
     return (
-        df.join(listed, run, "left")
+        df.join(broadcast_if_small(listed), run, "left")
         .withColumn("_new", hit)
         .withColumn(value, F.coalesce("_new", value))
         .withColumn(error, F.when(F.col("_new").isNull(), F.col(error)))
@@ -190,10 +191,6 @@ def patch_known_rows(
     )
 
 
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Mapping[str, str], key: str, value: str) -> DataFrame:
     """Columns -> rows; ``columns`` maps a column to the name it gets in ``key``."""
     cells = F.array(*[F.struct(F.lit(n).alias(key), F.col(c).alias(value)) for c, n in columns.items()])

@@ -62,7 +62,10 @@ def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def read_yearly_csv(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = r"yob(\d{4})") -> DataFrame:
-    """Headerless CSV per year; the year comes from the path, ``line`` orders rows inside a file."""
+    """Headerless CSV per year; the year comes from the path, ``line`` orders rows inside a file.
+
+    The order holds for files of one split, as yearly name lists are.
+    """
     year = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int")
     return spark.read.schema(schema).csv(path).select("*", year.alias("year"), F.monotonically_increasing_id().alias("line"))
 

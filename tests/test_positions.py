@@ -45,10 +45,12 @@ def test_samples(spark):
         positions.sample_exact(spark.range(5), 6, 1, "id")
 
 
-def test_large_sample_uses_positions(spark, monkeypatch):
-    small = {r.id for r in positions.sample_exact(spark.range(300), 50, 9, "id").collect()}
-    monkeypatch.setattr(positions, "TOP_K_ROWS", 10)
-    assert {r.id for r in positions.sample_exact(spark.range(300), 50, 9, "id").collect()} == small
+def test_sample_is_the_head_of_the_seeded_order(spark):
+    import hashlib
+
+    order = sorted(range(300), key=lambda i: hashlib.md5(f"9|{i}".encode()).hexdigest())
+    for n in (1, 50, 299, 300):
+        assert {r.id for r in positions.sample_exact(spark.range(300), n, 9, "id").collect()} == set(order[:n])
 
 
 def test_shuffles_and_coins(spark):
