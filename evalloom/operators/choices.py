@@ -12,17 +12,14 @@ from evalloom.context import broadcast_if_small, one_row
 from evalloom.functions import text as X
 from evalloom.functions.seeded import column, seeded_int, seeded_key, shuffle_array
 from evalloom.operators.positions import global_index
-from evalloom.operators.tabular import filter_single_image_mc, unpivot_columns
+from evalloom.operators.tabular import check_group_size, filter_single_image_mc, unpivot_columns
 
 LETTERS = 26
 
 
 def check_option_counts(df: DataFrame, group: str | Sequence[str], limit: int = LETTERS) -> None:
     """Options are lettered A-Z, so a larger group is an error; this also bounds every option list."""
-    groups = [group] if isinstance(group, str) else list(group)
-    over = df.groupBy(*groups).count().filter(F.col("count") > limit).take(1)
-    if over:
-        raise ValueError(f"more than {limit} options in group {over[0].asDict()}")
+    check_group_size(df, group, limit, "options")
 
 
 def option_lists(df: DataFrame, group: str | Sequence[str], value: str, name: str = "options") -> DataFrame:

@@ -18,6 +18,7 @@ from evalloom.operators.positions import global_index, index_by_key, sample_exac
 from evalloom.operators.tabular import select_contract, unpivot_columns
 
 GRID_ROWS = 100_000_000
+VOCABULARY = 100_000
 
 
 # ------------------------------------------------------------------- grids
@@ -38,7 +39,7 @@ def attribute_grid(df: DataFrame, attrs: Sequence[str], max_rows: int = GRID_ROW
     the product is checked before the lists are exploded one after another.
     """
     sizes = df.agg(*[F.approx_count_distinct(a).alias(a) for a in attrs]).first()
-    if math.prod(max(1, s) for s in sizes) > max_rows:
+    if math.prod(max(1, s) for s in sizes) > max_rows or max(sizes) > VOCABULARY:
         raise ValueError(f"grid too large: {sizes.asDict()}")
     grid = df.agg(*[F.array_sort(F.collect_set(a)).alias(a) for a in attrs])
     # spread the first attribute's values before multiplying

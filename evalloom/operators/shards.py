@@ -102,7 +102,8 @@ def interleave_batches(
             continue
         rows = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(0, passes - 1)))))
         if shuffle:
-            placed = index_by_key(rows, f"{seed}-{i}", key, "_pos", digits=2, within="pass")
+            head = rank + world * wanted if passes == 1 else None
+            placed = index_by_key(rows, f"{seed}-{i}", key, "_pos", digits=2, within="pass", below=head)
         else:
             placed = global_index(rows, ["pass", key], "_g").withColumn("_pos", F.pmod("_g", F.lit(size))).drop("_g")
         element = F.col("pass") * size + F.col("_pos")

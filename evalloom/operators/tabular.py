@@ -191,6 +191,14 @@ def patch_known_rows(
     )
 
 
+def check_group_size(df: DataFrame, group: str | Sequence[str], limit: int, what: str = "rows") -> None:
+    """Error on a group that would not fit one list. The count combines before its shuffle, so hot groups are cheap to find."""
+    groups = [group] if isinstance(group, str) else list(group)
+    over = df.groupBy(*groups).count().filter(F.col("count") > limit).take(1)
+    if over:
+        raise ValueError(f"more than {limit} {what} in group {over[0].asDict()}")
+
+
 def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Mapping[str, str], key: str, value: str) -> DataFrame:
     """Columns -> rows; ``columns`` maps a column to the name it gets in ``key``."""
     cells = F.array(*[F.struct(F.lit(n).alias(key), F.col(c).alias(value)) for c, n in columns.items()])

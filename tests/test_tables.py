@@ -170,6 +170,8 @@ def test_padding(spark):
 def test_chat(spark):
     df = spark.createDataFrame([(1, 0, "user", " hi "), (1, 1, "assistant", "")], "conv_id int, turn int, role string, text string")
     assert sequences.render_chat(df).first().rendered == "User: hi\n\nAssistant:"
+    with pytest.raises(ValueError, match="more than 1 turns"):
+        sequences.render_chat(df, max_turns=1)
 
 
 # ------------------------------------------------------------ table operators
