@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from evalloom import constants as C
 from evalloom.functions.seeded import column
 
-BLANK = r"[\s\p{Z}]"
+# fixed values: every character that counts as white space
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column | str) -> Column:
-    """Trim every kind of white space, line breaks included."""
-    return F.regexp_replace(column(c), rf"^{BLANK}+|{BLANK}+\z", "")
+    """Trim every kind of white space at both ends, line breaks included."""
+    return F.btrim(column(c), F.lit(BLANKS))
 
 
 def letter(i: Column) -> Column:

@@ -58,14 +58,14 @@ def grade_letter_lenient(
     n = F.size(options)
     staged = df.withColumn("_raw", X.strip(completion)).withColumn("_upper", F.upper("_raw"))
     tokens = F.split("_upper", r"[^\p{L}\p{N}_]+")
-    letters = F.array_distinct(F.filter(tokens, lambda w: (F.length(w) == 1) & w.between("A", "Z") & _in_range(w, n)))
+    letters = F.array_distinct(F.filter(tokens, lambda w: _in_range(w, n) & w.between("A", "Z")))
 
     def hits(text: Column) -> Column:
-        def mark(v: Column, i: Column) -> Column:
-            wanted = X.strip(X.normalize_text(v.cast("string")))
-            return F.when((wanted != "") & text.contains(F.concat(F.lit(" "), wanted, F.lit(" "))), X.letter(i))
+        def mark(w: Column, i: Column) -> Column:
+            return F.when((w != "") & text.contains(F.concat(F.lit(" "), w, F.lit(" "))), X.letter(i))
 
-        return F.array_compact(F.transform(F.col(options), mark))
+        wanted = F.transform(F.col(options), lambda v: F.trim(X.normalize_text(v.cast("string"))))
+        return F.array_compact(F.transform(wanted, mark))
 
     text = F.concat(F.lit(" "), X.normalize_text("_raw"), F.lit(" "))
     # option texts are searched only where letters leave the answer open

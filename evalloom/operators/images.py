@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from evalloom import constants as C
 
 PIXEL_COLUMNS = ("height", "width", "channels", "data")
+STEPS = np.arange(1, 256)
+PER_VALUE = np.concatenate([[0], np.rint((255 << 12) / STEPS).astype(np.int64)])
+PER_SPREAD = np.concatenate([[0], np.rint((180 << 12) / (6.0 * STEPS)).astype(np.int64)])
 
 
 def hsv(rgb: np.ndarray) -> np.ndarray:
@@ -23,12 +26,9 @@ def hsv(rgb: np.ndarray) -> np.ndarray:
     r, g, b = (rgb[..., i].astype(np.int64) for i in range(3))
     v = np.maximum(np.maximum(r, g), b)
     spread = v - np.minimum(np.minimum(r, g), b)
-    steps = np.arange(1, 256)
-    per_value = np.concatenate([[0], np.rint((255 << 12) / steps).astype(np.int64)])
-    per_spread = np.concatenate([[0], np.rint((180 << 12) / (6.0 * steps)).astype(np.int64)])
-    s = (spread * per_value[v] + (1 << 11)) >> 12
+    s = (spread * PER_VALUE[v] + (1 << 11)) >> 12
     sector = np.where(v == r, g - b, np.where(v == g, b - r + 2 * spread, r - g + 4 * spread))
-    h = (sector * per_spread[spread] + (1 << 11)) >> 12
+    h = (sector * PER_SPREAD[spread] + (1 << 11)) >> 12
     return np.stack([np.where(h < 0, h + 180, h), s, v], axis=-1)
 
 
