@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.arrays import ALNUM, Words, span_hash, sums, text_chunks
+from evalloom.llm.arrays import ALNUM, Words, ranges, span_hash, sums, text_chunks
 from evalloom.llm.store import free_name, written
 
 WINDOW = 13
@@ -33,12 +33,6 @@ RUN_ARROW = pa.struct([(n, pa.int64()) for n in ("start", "end", "n_words", "ite
 SCAN_ARROW = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(RUN_ARROW)), ("items", pa.list_(pa.string()))])
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for ``counts`` numbers each, after one another."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class TestSet:
     """Words, windows and stems of one block of benchmark items."""
 
