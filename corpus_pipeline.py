@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import decontamination, near_dedup, packing, quality, secrets
+from evalloom.llm import decontamination, near_dedup, packing, quality, secret_ledger
 from evalloom.llm.queries import tokenizer_file
 from evalloom.llm.store import written
 
@@ -26,7 +26,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked."""
-    return secrets.mask_secrets(docs)
+    return secret_ledger.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

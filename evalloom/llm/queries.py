@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontamination, near_dedup, packing, quality, secrets
+from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger
 from evalloom.plans.common import table
 
 
@@ -42,6 +42,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "stats").drop("text")
     judged = quality.cascade(docs, quality.measured_rules("stats"))
@@ -57,12 +62,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = found.select("doc_id", "secrets", F.filter("secrets", lambda s: s.kind.isin(*secrets.BASE)).alias("base"))
+    found, _ = secret_ledger.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select("doc_id", "secrets", F.filter("secrets", lambda s: s.kind.isin(*secret_ledger.BASE)).alias("base"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(count, secret_ledger.BASE), F.sha2(secret_ledger.joined(F.col("base")), 256).alias("base_sha256"), secret_ledger.joined(F.col("secrets")).alias("spans"))
 
 
 ORACLE_SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger)}
