@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger
+from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger, sentence_dedup
 from evalloom.plans.common import table
 
 
@@ -42,6 +42,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "passages.*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     return pitman_yor.score_texts(table(spark, sf_dir, "documents"), held_out)
@@ -70,4 +75,4 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger)}
