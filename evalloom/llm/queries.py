@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger, sentence_dedup
+from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts
 from evalloom.plans.common import table
 
 
@@ -15,6 +15,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits per document, at places drawn from its id: an insertion, a deletion and a replacement."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text"), F.lit(1))).cast("int")
+    edit = lambda k, size, new: F.struct(place(k).alias("start"), (place(k) + size).alias("end"), F.lit(new).alias("text"))
+    edits = F.array(edit(1, 0, " edited, again"), edit(2, 7, ""), edit(3, 5, "na\u00efve  1234\n"))
+    out = token_counts.count_tokens(docs, edits, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "counts.*", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -73,6 +85,10 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_ledger.BASE), F.sha2(secret_ledger.joined(F.col("base")), 256).alias("base_sha256"), secret_ledger.joined(F.col("secrets")).alias("spans"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 ORACLE_SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_edit_token_counts, op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup)}
