@@ -12,6 +12,8 @@ pieces of each length and look their places up.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 from collections import defaultdict
@@ -30,7 +32,7 @@ CAPACITY = 2048
 GROUPS = 16
 END_ID = 0
 ROWS_PER_BUCKET = 100_000
-REMEMBERED = 200_000  # words of which a task keeps the ids
+REMEMBERED = 1_000_000  # words of which a Python worker keeps the ids, some 200 MB
 GAP = 2e-4  # the configurations may need this share of sequences more than the linear programme's bound
 
 
@@ -154,6 +156,12 @@ class Plan:
 
 
 # ------------------------------------------------------------------ the tables
+@functools.cache
+def word_ids(tokenizer: str) -> WordIds:
+    """One per Python worker, so that a task finds what earlier ones have encoded."""
+    return WordIds(tokenizer)
+
+
 class WordIds:
     """Token ids of texts from the ids of their words, each word encoded once while it is remembered.
 
@@ -170,7 +178,7 @@ class WordIds:
 
     def forget(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.sizes, self.parts = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        self.ends, self.parts = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")  # grown by doubling
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
@@ -181,17 +189,23 @@ class WordIds:
         for at in range(0, len(new), 1000):
             batch = new[at : at + 1000]
             ids = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in batch], add_special_tokens=False)]
-            self.slot.update(zip(batch, range(len(self.slot), len(self.slot) + len(batch)), strict=True))
-            self.sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.parts.append(np.fromiter((x for y in ids for x in y), "<u4"))
-        self.sizes, self.parts = [np.concatenate(self.sizes)], [np.concatenate(self.parts)]
-        ends = np.cumsum(self.sizes[0])
-        out = []
-        for words in split:
-            slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-            n = self.sizes[0][slots]
-            out.append(np.append(self.parts[0][ranges(ends[slots] - n, n)], np.array([END_ID], "<u4")))
-        return out
+            n, size = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
+            start = self.ends[n - 1] if n else 0
+            end = start + int(size.sum())
+            while n + len(batch) > len(self.ends) or end > len(self.parts):
+                self.ends, self.parts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.parts))
+            self.ends[n : n + len(batch)] = start + np.cumsum(size)
+            self.parts[start:end] = np.fromiter(itertools.chain.from_iterable(ids), "<u4", end - start)
+            self.slot.update(zip(batch, range(n, n + len(batch)), strict=True))
+        words = list(itertools.chain.from_iterable(split))
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        ends = self.ends[slots]
+        starts = np.where(slots > 0, self.ends[slots - 1], 0)
+        found = self.parts[ranges(starts, ends - starts)]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        tokens = np.append(0, np.cumsum(ends - starts))[np.append(0, np.cumsum(counts))]
+        mark = np.array([END_ID], "<u4")
+        return [np.append(found[a:b], mark) for a, b in zip(tokens, tokens[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -206,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def encode(batches):
-        memo = WordIds(tokenizer)
+        memo = word_ids(tokenizer)
         for chunk in text_chunks(batches, "text"):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(memo.encode(chunk.column(1).cast(pa.binary()).fill_null(b"").to_pylist())):
