@@ -2,9 +2,10 @@
 
 1. Texts become sets of word shingles; equal sets are one class, so exact copies cost one signature.
 2. Signatures are cut into bands; classes that agree on a band share a bucket.
-3. Buckets name candidates in two steps. First every class is paired with a few centres of its
-   buckets, which joins large groups in linear work. Then only classes of one bucket that are
-   still in different components are paired, so no link is lost and no group gives all its pairs.
+3. Buckets name candidates in turns. In each, classes are paired with a centre of their bucket, drawn
+   anew, if it is in another component; that joins large groups in linear work. When few pairs across
+   components are left in the buckets, or a turn links few, all of those are compared, but for pairs
+   that shingles held by one component alone rule out: no link is lost and no group gives all its pairs.
 4. Candidates compare their signatures batch by batch. After each batch the posterior chance that
    the similarity reaches the threshold, given the matches so far and a uniform prior, decides:
    pairs below the chosen miss probability are dropped.
@@ -27,7 +28,9 @@ from evalloom.llm.store import free_name, written
 BANDS, ROWS = 32, 5  # misses a pair at similarity 0.8 with chance (1 - 0.8 ** 5) ** 32 = 3e-6
 BATCH = 32  # hashes compared between two decisions
 MISS = 1e-7
-CENTRES = 2
+BROADCAST_NODES = 200_000
+#: All pairs across components are compared once there are so few per member of a bucket, or a turn has linked so few per member.
+PAIRS_PER_MEMBER, NEW_LINKS = 2, 0.01
 
 _random = np.random.default_rng(20)
 _XOR = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -160,6 +163,13 @@ def _confirmed(percent: int):
     return confirmed
 
 
+def _narrowed(values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``values`` of the ``nodes``: before any shuffle if the nodes are few (8 bytes each), else by a join."""
+    nodes = written(nodes)
+    few = nodes.count() <= BROADCAST_NODES
+    return values.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
 def _paired(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """``pairs`` (a, b) with ``column`` of both nodes; a node in very many pairs is split by the skew join."""
     left = values.select(F.col("node").alias("a"), F.col(column).alias("x"))
@@ -167,23 +177,55 @@ def _paired(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-def _around_centres(members: DataFrame) -> DataFrame:
-    """Each node of a bucket with a few centres of the bucket, drawn by hash."""
-    draws = [F.min(F.struct(F.xxhash64("node", F.lit(c)), "node")).node.alias(f"c{c}") for c in range(CENTRES)]
-    centres = members.groupBy("key").agg(*draws)
-    centre = F.explode(F.array(*(f"c{c}" for c in range(CENTRES)))).alias("c")
-    return members.join(centres, "key").select("node", centre).where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+def _pairs(left: str, right: str) -> list:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _around_centres(parts: DataFrame, turn: int) -> DataFrame:
+    """Each node of a bucket with the bucket's centre, if that is in another component; every turn draws other centres."""
+    draw = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
+    centres = parts.groupBy("key").agg(F.min(F.struct(draw.alias("h"), "node", "part")).alias("c")).select("key", F.col("c.node").alias("c"), F.col("c.part").alias("other"))
+    return parts.join(centres, "key").where("part <> other").select(*_pairs("node", "c")).distinct()
+
+
+def _elsewhere(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, rest): how many of a set's shingles another component holds too."""
+
+    def members(batches):
+        for batch in batches:
+            for node, part, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = np.frombuffer(held.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node)), pa.array(np.full(len(h), part))], names=["h", "node", "part"])
+
+    parts = sets.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "set")
+    held = parts.mapInArrow(members, "h long, node long, part long")
+    shared = held.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("h")
+    return held.join(shared, "h").groupBy("node").agg(F.count("*").alias("rest"))
+
+
+def _across(parts: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """All pairs within a bucket whose nodes are in different components and can still be linked.
+
+    Members meet the bucket's other components, never their own. The intersection of such a pair is at most the
+    smaller ``rest``; sets for which this rules out every partner are left out, then pairs for which it does.
+    """
+    bound = sizes.join(rest, "node").where(100 * F.col("rest") >= percent * F.col("n"))
+    known = parts.join(bound, "node")
+    other = known.select("key", F.col("part").alias("other")).distinct()
+    meet = known.join(other, "key").where("part < other").select("key", F.col("other").alias("part"), F.col("node").alias("from"), F.col("n").alias("n_from"), F.col("rest").alias("rest_from"))
+    most = F.least("rest", "rest_from")
+    pairs = meet.join(known, (meet.key == known.key) & (meet.part == known.part) & (100 * most >= percent * (F.col("n") + F.col("n_from") - most)))
+    return pairs.select(*_pairs("from", "node")).distinct()
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within a bucket whose nodes are in different components: left members meet the bucket's other components, never their own."""
-    parts = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    split = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    parts = written(parts.join(split, "key"))
-    other = parts.select("key", F.col("part").alias("other")).distinct()
-    meet = parts.join(other, "key").where("part < other").select("key", F.col("other").alias("part"), F.col("node").alias("from"))
-    pairs = meet.join(parts, ["key", "part"])
-    return pairs.select(F.least("from", "node").alias("a"), F.greatest("from", "node").alias("b")).distinct()
+def _split_buckets(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """(key, node, part) of buckets with nodes of several components, its rows, and the pairs across components in it."""
+    parts = members.withColumn("part", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    sizes = parts.groupBy("key", "part").agg(F.count("*").cast("double").alias("n"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("parts > 1")
+    parts = written(parts.join(split, "key").select("key", "node", "part", "n", "own"))
+    rows, pairs = parts.agg(F.count("*"), F.sum((F.col("n") - F.col("own") / F.col("n")) / 2)).first()
+    return parts.select("key", "node", "part"), rows, int(pairs or 0)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
@@ -211,20 +253,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = written(banded.join(shared, "key"))
     least = fewest_matches(percent / 100, miss)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        sizes = classes.select("node", "n")
-        fits = _paired(pairs, sizes, "n").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b")
-        likely = written(_paired(fits, classes, "signature").mapInArrow(_likely(least), "a long, b long, matches int"))
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = classes.join(nodes, "node", "left_semi").select("node", "id", "print")
-        sets = written(source.join(wanted, "id").select("node", "print", "text").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]))
-        return written(_paired(likely.select("a", "b"), sets, "set").mapInArrow(_confirmed(percent), "a long, b long"))
+    sizes = classes.select("node", "n")
+    both = F.explode(F.array("a", "b")).alias("node")
 
-    near = links(_around_centres(members))
-    labels = written(components(near))
-    more = links(_across(members, labels))
-    labels = components(near.unionByName(more))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = written(_narrowed(classes.select("node", "id", "print"), nodes))
+        if wanted.count() <= BROADCAST_NODES:
+            wanted = F.broadcast(wanted)  # 32 bytes and an id each: the texts then need no shuffle
+        return written(source.join(wanted, "id").select("node", "print", "text").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]))
+
+    def links(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        fits = written(_paired(pairs, sizes, "n").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b"))
+        signatures = _narrowed(classes.select("node", "signature"), fits.select(both).distinct())
+        likely = written(_paired(fits, signatures, "signature").mapInArrow(_likely(least), "a long, b long, matches int"))
+        sets = sets_of(likely.select(both).distinct()) if sets is None else sets
+        return written(_paired(likely.select("a", "b"), sets, "set").mapInArrow(_confirmed(percent), "a long, b long"))
 
+    edges, labels, turn, found = None, None, 0, 1
+    while True:
+        parts, size, pairs = _split_buckets(members, labels)
+        if not pairs:
+            break
+        last = turn and (pairs <= PAIRS_PER_MEMBER * size or found < NEW_LINKS * size)
+        if last:
+            sets = sets_of(parts.select("node").distinct())
+            new = links(_across(parts, _elsewhere(sets, labels), sizes, percent), sets)
+        else:
+            new = links(_around_centres(parts, turn))
+        found, turn = new.count(), turn + 1
+        edges = new if edges is None else edges.unionByName(new)
+        if found or labels is None:
+            labels = written(components(edges))
+        if last:
+            break
+
+    labels = labels if labels is not None else classes.select("node", F.col("node").alias("component"))
     placed = classes.join(labels, "node", "left").select("print", "id", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     placed = placed.join(names, "component").select("print", "component_id")
