@@ -1,4 +1,4 @@
-"""Session helpers: where lineage is cut, and when a side may be broadcast."""
+"""Session helpers: where lineage is cut, and one-row values."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint into the folder the session names in ``spark.checkpoint.dir``.
 
@@ -38,8 +35,3 @@ def materialized(df: DataFrame) -> DataFrame:
 def one_row(df: DataFrame) -> Column:
     """The only row of a one-row aggregate as a struct column: a scalar subquery, so no join at all."""
     return df.select(F.struct("*").alias("_row")).scalar()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most ``max_rows + 1`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,31 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
-from evalloom.context import broadcast_if_small, one_row
+from evalloom.context import one_row
 from evalloom.functions import text as X
 from evalloom.functions.seeded import column, seeded_int, seeded_key, shuffle_array
 from evalloom.operators.positions import global_index
-from evalloom.operators.tabular import check_group_size, filter_single_image_mc, unpivot_columns
+from evalloom.operators.tabular import filter_single_image_mc, unpivot_columns
 
 LETTERS = 26
 
 
-def check_option_counts(df: DataFrame, group: str | Sequence[str], limit: int = LETTERS) -> None:
-    """Options are lettered A-Z, so a larger group is an error; this also bounds every option list."""
-    check_group_size(df, group, limit, "options")
+def _lettered(options: Column) -> Column:
+    """Options are lettered A-Z; a longer list is an error of the aggregate that makes it."""
+    return F.when(F.size(options) <= LETTERS, options).otherwise(F.raise_error(F.concat(F.lit("more than 26 options: "), F.size(options).cast("string"))))
 
 
 def option_lists(df: DataFrame, group: str | Sequence[str], value: str, name: str = "options") -> DataFrame:
     """Sorted option list per group, at most 26 long."""
-    check_option_counts(df, group)
     groups = [group] if isinstance(group, str) else list(group)
-    return df.groupBy(*groups).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return df.groupBy(*groups).agg(_lettered(F.array_sort(F.collect_list(value))).alias(name))
 
 
 def with_group_lists(df: DataFrame, group: str, columns: Sequence[str], name: str = "_group") -> DataFrame:
     """Every row with the sorted list of its group (at most 26 rows): one shuffle, no self-join."""
-    check_option_counts(df, group)
-    lists = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    lists = df.groupBy(group).agg(_lettered(F.array_sort(F.collect_list(F.struct(*columns)))).alias(name))
     return lists.select(group, name, F.inline(name))
 
 
@@ -122,7 +120,7 @@ def sample_distractors(
     )
     asked = (
         placed.select(*w, attr, key)
-        .join(broadcast_if_small(spans), [*w, attr])
+        .join(spans, [*w, attr])
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .select(*w, key, "_j", target.cast("long").alias("_pos"))
     )
@@ -166,7 +164,7 @@ def with_options(rows: DataFrame, options: DataFrame) -> DataFrame:
     table = options.join(lists, "attribute").select(
         F.col("attribute").alias("concept_type"), F.col("key").alias("concept_value"), F.col("text").alias("_answer"), "_pool"
     )
-    return rows.join(broadcast_if_small(table), ["concept_type", "concept_value"], "left")
+    return rows.join(table, ["concept_type", "concept_value"], "left")
 
 
 def _entity_question(q: DataFrame, name: str, direction: str, kind: str, prompt: Column, answer) -> DataFrame:
@@ -210,7 +208,7 @@ def mc_entity_reverse(
     natural = options.select(
         F.col("attribute").alias("concept_type"), F.col("key").alias("concept_value"), F.col("text").alias("_natural")
     )
-    q = rows.join(others, ["concept_type", name]).join(broadcast_if_small(natural), ["concept_type", "concept_value"], "left")
+    q = rows.join(others, ["concept_type", name]).join(natural, ["concept_type", "concept_value"], "left")
     pool = F.array_append("distractors", F.struct(name, "description"))
     tagged = F.transform(
         pool, lambda o: F.struct(seeded_key(seed, name, "concept_type", F.lit("reverse"), o[name]).alias("k"), o.alias("o"))

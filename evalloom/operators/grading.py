@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalloom import constants as C
 from evalloom.functions import text as X
@@ -178,7 +178,7 @@ def parse_judge_scores(
     reason = (
         F.when(F.col(col).isNull() | (F.col(col) == ""), "no response")
         .when(keys.isNull(), "response is not a JSON object")
-        .when(~F.array_contains(keys, "textual_analysis") | ~F.array_contains(keys, "scores"), F.concat(F.lit("Invalid response structure: "), F.substring(col, 1, 500), F.lit("...")))
+        .when(~F.array_contains(keys, "textual_analysis") | ~F.array_contains(keys, "scores"), F.concat(F.lit("Invalid response structure: "), F.col(col)))
         .when(body["scores"].isNull(), "scores are not numbers")
     )
     failed = F.col("_reason").isNotNull()
@@ -198,10 +198,6 @@ def match_attributes(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
     return df.withColumns(hits).withColumn("grading_all_correct", reduce(lambda a, b: a & b, [F.col(h) for h in hits]))
 
 
-def with_refusal_status(df: DataFrame, completion: str = "inference_completion") -> DataFrame:
-    return df.withColumn("refusal_status", X.classify_refusal(column(completion)))
-
-
 # ------------------------------------------------------------ plug-in judges
 def with_judge(
     df: DataFrame, fn: Callable[[dict], dict], fields: str, max_in_flight: int = 64, error: str = "grading_error"
@@ -223,15 +219,13 @@ def with_judge(
         except Exception as ex:  # the text of any failure belongs to its row
             return {**{n: None for n in names}, error: f"Failed to query judge: {ex}"}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(max_workers=max_in_flight) as pool:
-            for rows in batches:
-                answers = list(pool.map(call, rows.to_dict("records")))
-                yield rows.assign(**{n: pd.Series([a[n] for a in answers], index=rows.index, dtype=object) for n in [*names, error]})
-
-    return df.mapInPandas(run, schema)
+    kinds = {f.name: f.type for f in to_arrow_schema(T.StructType([*added.fields, T.StructField(error, T.StringType())]))}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(max_workers=max_in_flight) as pool:
+            for batch in batches:
+                answers = list(pool.map(call, batch.to_pylist()))  # whole numbers and NULLs stay what they are
+                new = [pa.array([a[n] for a in answers], kinds[n]) for n in [*names, error]]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
-def verdict_json(answer_key: str | None, format_error: str | None) -> str:
-    """Verdict text in the form ``parse_mc_verdict`` reads."""
-    return json.dumps({"answer_key": answer_key, "format_error": format_error})
+    return df.mapInArrow(run, schema)

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.context import broadcast_if_small
 from evalloom.functions.text import id_from_file_name
 
 ATTRS = ("color", "pattern", "position", "shape")
@@ -36,14 +35,11 @@ def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def case_table(image: DataFrame, text: DataFrame, run: str, attrs: Sequence[str] = ATTRS) -> DataFrame:
     """Per image row: which attributes were drawn right and which were also described right.
 
-    The lookup table has one row per (type, code name) of the vocabulary. Its
-    size is checked; when small, image rows meet it without any shuffle. A
-    missing text row counts as wrong.
+    The lookup table has one row per (type, code name) of the vocabulary; Spark
+    broadcasts it below its byte threshold. A missing text row counts as wrong.
     """
     asked = text.filter("is_synthetic_query")
-    lookup = broadcast_if_small(
-        asked.groupBy("concept_type", "concept_value_synthetic").agg(F.max("grading_correct").alias("_ok"))
-    )
+    lookup = asked.groupBy("concept_type", "concept_value_synthetic").agg(F.max("grading_correct").alias("_ok"))
     rows = image
     for a in attrs:
         own = lookup.filter(F.col("concept_type") == a).select(
@@ -69,13 +65,14 @@ def case_table(image: DataFrame, text: DataFrame, run: str, attrs: Sequence[str]
 
 
 def modality_join(image_acc: DataFrame, text_acc: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Image and text accuracies side by side; every left row must find exactly one partner."""
-    joined = image_acc.join(text_acc, list(keys), "inner")
-    if check:
-        before, after = image_acc.count(), joined.count()
-        if before != after:
-            raise ValueError(f"{before} rows before the join, {after} after")
-    return joined
+    """Image and text accuracies side by side; a left row without exactly one partner is an error when it is read."""
+    if not check:
+        return image_acc.join(text_acc, list(keys), "inner")
+    values = [c for c in text_acc.columns if c not in keys]
+    right = text_acc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in values])
+    wrong = F.raise_error(F.concat(F.lit("partners of a row, not one: "), F.coalesce("_n", F.lit(0)).cast("string")))
+    joined = image_acc.join(right, list(keys), "left")
+    return joined.withColumns({c: F.when(F.col("_n") == 1, F.col(c)).otherwise(wrong) for c in values}).drop("_n")
 
 
 def fulfilment_join(reqs: DataFrame, analysis: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -84,7 +84,9 @@ def random_baseline(df: DataFrame, options: str = "num_options", keys: Sequence[
 
 
 def outcome_rates(df: DataFrame, keys: Sequence[str], outcome: str, outcomes: Sequence[str]) -> DataFrame:
-    """Share of each outcome per group as columns; absent outcomes are 0."""
+    """Share of each outcome per group as columns; absent outcomes are 0, one that is not listed is an error."""
+    listed = F.when(F.col(outcome).isin(list(outcomes)), F.col(outcome)).otherwise(F.raise_error(F.concat(F.lit("outcome not listed: "), F.col(outcome))))
+    df = df.withColumn(outcome, F.when(F.col(outcome).isNotNull(), listed))
     known = F.count(outcome)
     return df.groupBy(*keys).agg(
         *[F.coalesce(F.try_divide(F.count_if(F.col(outcome) == o), known), F.lit(0.0)).alias(o) for o in outcomes]

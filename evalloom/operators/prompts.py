@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
-from evalloom.context import broadcast_if_small, one_row
+from evalloom.context import one_row
 from evalloom.functions import text as X
-from evalloom.functions.seeded import shuffle_array
+from evalloom.functions.seeded import seeded_int, shuffle_array
 from evalloom.operators.positions import global_index, index_by_key, sample_exact, sample_two_way
 from evalloom.operators.tabular import select_contract, unpivot_columns
 
-GRID_ROWS = 100_000_000
-VOCABULARY = 100_000
+
+LISTED = 7  # attributes up to which all orders of a row are shuffled; of more, orders are drawn by number
 
 
 # ------------------------------------------------------------------- grids
-def grid_of_values(spark: SparkSession, dims: Mapping[str, Sequence], max_rows: int = GRID_ROWS) -> DataFrame:
-    """All combinations of literal value lists."""
-    if math.prod(len(v) for v in dims.values()) > max_rows:
+def grid_of_values(spark: SparkSession, dims: Mapping[str, Sequence], max_rows: int | None = None) -> DataFrame:
+    """All combinations of literal value lists; more than ``max_rows``, if given, are an error."""
+    if max_rows is not None and math.prod(len(v) for v in dims.values()) > max_rows:
         raise ValueError("grid too large")
     df = spark.range(1).select()
     for name, values in dims.items():
@@ -32,15 +31,15 @@ def grid_of_values(spark: SparkSession, dims: Mapping[str, Sequence], max_rows:
     return df
 
 
-def attribute_grid(df: DataFrame, attrs: Sequence[str], max_rows: int = GRID_ROWS) -> DataFrame:
-    """All combinations of the values that occur in ``attrs``.
+def attribute_grid(df: DataFrame, attrs: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """All combinations of the values that occur in ``attrs``; more than ``max_rows``, if given, are an error.
 
-    One aggregate gathers the distinct values (vocabularies, so short lists);
-    the product is checked before the lists are exploded one after another.
+    One aggregate gathers the distinct values (vocabularies, so short lists), which are then exploded one after another.
     """
-    sizes = df.agg(*[F.approx_count_distinct(a).alias(a) for a in attrs]).first()
-    if math.prod(max(1, s) for s in sizes) > max_rows or max(sizes) > VOCABULARY:
-        raise ValueError(f"grid too large: {sizes.asDict()}")
+    if max_rows is not None:
+        sizes = df.agg(*[F.count_distinct(a).alias(a) for a in attrs]).first()
+        if math.prod(sizes) > max_rows:
+            raise ValueError(f"grid too large: {sizes.asDict()}")
     grid = df.agg(*[F.array_sort(F.collect_set(a)).alias(a) for a in attrs])
     # spread the first attribute's values before multiplying
     for i, a in enumerate(attrs):
@@ -54,7 +53,7 @@ def add_code_names(df: DataFrame, code_map: DataFrame, attrs: Sequence[str], pre
     """Code name per attribute from a (type, value, code) table; an unknown value is an error."""
     for a in attrs:
         names = code_map.filter(F.col("type") == a).select(F.col("value").alias(a), F.col("code").alias(prefix + a))
-        df = df.join(broadcast_if_small(names), a, "left").withColumn(
+        df = df.join(names, a, "left").withColumn(
             prefix + a, F.coalesce(prefix + a, F.raise_error(F.concat(F.lit(f"no code name for {a} "), F.col(a).cast("string"))))
         )
     return df
@@ -129,17 +128,38 @@ def permuted_prompts(
         raise ValueError("several orders need a free order and a style other than a sentence")
     if style == "full_sentence":
         return df.select(X.render_prompt(C.SENTENCE_PROMPT, **{a: prefix + a for a in attrs}).alias("prompt"), *keep)
-    if len(attrs) > 7:
-        raise ValueError("too many attribute orders")
     shown = [F.concat(F.lit(f"{a}="), F.col(prefix + a)) if style == "with_concept_type" else F.col(prefix + a) for a in attrs]
     joint = ", " if style == "with_concept_type" else " "
-    orders = list(itertools.permutations(range(len(attrs))))
-    table = F.array(*[F.array(*[F.lit(i) for i in o]) for o in orders])
-    ids = F.sequence(F.lit(0), F.lit(len(orders) - 1))
-    picked = F.slice(ids if fixed else shuffle_array(ids, seed, key), 1, k)
+    n = math.factorial(len(attrs))
+    if fixed:
+        picked = F.array(F.lit(0).cast("long"))
+    elif len(attrs) <= LISTED:
+        picked = F.slice(shuffle_array(F.sequence(F.lit(0), F.lit(n - 1)), seed, key), 1, k)
+    else:
+        picked = _distinct_orders(n, k, seed, key)
     rows = df.select(*keep, F.array(*shown).alias("_words"), F.explode(picked).alias("_order"))
-    words = F.transform(F.get(table, F.col("_order")), lambda i: F.get(F.col("_words"), i))
-    return rows.select(F.array_join(words, joint).alias("prompt"), *keep)
+    return rows.select(F.array_join(_arranged(F.col("_words"), F.col("_order"), len(attrs)), joint).alias("prompt"), *keep)
+
+
+def _distinct_orders(n: int, k: int, seed: int, key: str) -> Column:
+    """``k`` different numbers below ``n`` per row: one from each of ``k`` even ranges."""
+    if k > n:
+        raise ValueError(f"{k} orders asked, there are {n}")
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: _range_start(n, k, j) + F.pmod(seeded_int(seed, key, j), _range_start(n, k, j + 1) - _range_start(n, k, j)))
+
+
+def _range_start(n: int, k: int, j: Column) -> Column:
+    return j.cast("long") * (n // k) + F.least(j, F.lit(n % k))
+
+
+def _arranged(words: Column, order: Column, n: int) -> Column:
+    """The words in lexicographic order number ``order``: each step takes the word that the next factorial digit names."""
+    left, out = words, F.array().cast("array<string>")
+    for i in range(n - 1, -1, -1):
+        digit = (F.floor(order / F.lit(math.factorial(i))) % (i + 1)).cast("int")
+        out = F.array_append(out, F.get(left, digit))
+        left = F.concat(F.slice(left, F.lit(1), digit), F.slice(left, digit + 2, F.lit(n)))
+    return out
 
 
 def _draw(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame | None:
@@ -149,14 +169,18 @@ def _draw(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame | None:
 def training_mix(
     base: DataFrame, test: DataFrame | None, aux: DataFrame, aux_fraction: float, n_train_val: int, n_aux_val: int,
     seed: int, key: str, contract: Sequence[str] = ("prompt", "image"), n_base: int | None = None,
+    lenient: bool = False,
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Base rows plus ``int(fraction * n)`` auxiliary rows, and validation sets from test, base and auxiliary rows.
 
     ``key`` identifies a row in every frame. ``n_base`` overrides the row count
-    the fraction refers to (rows before prompt expansion).
+    the fraction refers to (rows before prompt expansion). More auxiliary
+    validation rows than there are is an error, or none and a warning if ``lenient``.
     """
     n_aux = int(aux_fraction * (base.count() if n_base is None else n_base))
     if n_aux_val > n_aux:
+        if not lenient:
+            raise ValueError(f"{n_aux_val} auxiliary validation rows asked, {n_aux} available")
         warnings.warn(f"{n_aux_val} auxiliary validation rows asked, {n_aux} available: none used", stacklevel=2)
         n_aux_val = 0
     keep = [key, *contract]
@@ -197,9 +221,7 @@ def inference_prompts(df: DataFrame, attrs: Sequence[str], prefix: str = "synthe
 # --------------------------------------------------------------- text rows
 def codebook_text(code_map: DataFrame) -> DataFrame:
     """Six templated question/answer rows per code name."""
-    from evalloom.operators.choices import with_group_lists
 
-    values = F.array_join(F.transform("_group", lambda g: g["value"]), ", ")
     fields = {"type": F.col("type"), "value": F.col("value"), "code": F.col("code"), "options": F.col("_options")}
     rows = F.array(
         *[
@@ -211,7 +233,8 @@ def codebook_text(code_map: DataFrame) -> DataFrame:
             for q, a, task in C.CODEBOOK_ROWS
         ]
     )
-    return with_group_lists(code_map, "type", ["value", "code"]).withColumn("_options", values).select(F.inline(rows))
+    lists = code_map.groupBy("type").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("_options"))
+    return code_map.join(lists, "type").select(F.inline(rows))
 
 
 def composition_text(df: DataFrame, split: str, order: Sequence[str], attrs: Sequence[str] = ("color", "pattern", "position", "shape")) -> DataFrame:

@@ -10,22 +10,17 @@ from pyspark.sql import functions as F
 from evalloom.constants import IGNORE_ID
 from evalloom.functions.sequences import ids, repeated, truncate
 from evalloom.functions.text import strip
-from evalloom.operators.tabular import check_group_size
-
-MAX_TURNS = 100_000
 
 
 def render_chat(
     turns: DataFrame, system: str = "", seps: tuple[str, str] = ("\n\n", ""), conv: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text", name: str = "rendered", max_turns: int = MAX_TURNS,
+    role: str = "role", text: str = "text", name: str = "rendered",
 ) -> DataFrame:
     """Ordered turns as ``Role: text`` with alternating separators; an empty turn is an open ``Role:``.
 
     The result is one string per conversation, so a conversation's text has to
-    meet in one place; a conversation of more than ``max_turns`` is an error
-    that a count finds before anything is gathered.
+    meet in one place.
     """
-    check_group_size(turns, conv, max_turns, "turns")
     said = F.struct(turn, F.initcap(role).alias("role"), strip(text).alias("text"))
     ordered = turns.groupBy(conv).agg(F.array_sort(F.collect_list(said)).alias("_t"))
     sep = lambda i: F.when(i % 2 == 0, seps[0]).otherwise(seps[1])
@@ -40,7 +35,7 @@ def render_chat(
 
 
 def encode_turns(
-    turns: DataFrame, begin: Sequence[int], end: Sequence[int], conv: str = "conv_id", turn: str = "turn", max_turns: int = MAX_TURNS
+    turns: DataFrame, begin: Sequence[int], end: Sequence[int], conv: str = "conv_id", turn: str = "turn"
 ) -> DataFrame:
     """Ids and labels of whole conversations.
 
@@ -49,7 +44,6 @@ def encode_turns(
     that follows an end id; loss counts only on outputs flagged with loss and
     their end ids.
     """
-    check_group_size(turns, conv, max_turns, "turns")
     before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     ended = F.when(F.col("output_ids").isNotNull(), F.coalesce("need_eos", F.lit(True)))
     opens = F.coalesce(F.last(ended, ignorenulls=True).over(before), F.lit(True))

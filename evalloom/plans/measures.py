@@ -100,9 +100,12 @@ def _(spark, sf):
     return rounded(metrics.random_baseline(sizes, "num_options", ["attribute"]), "baseline")
 
 
-@query("outcome_rates", """select user_id, round(sum((event_type = 'click')::int) / count(*), 9)::double as click, round(sum((event_type = 'view')::int) / count(*), 9)::double as view, 0.0::double as absent from events group by 1""")
+KINDS = ("click", "view", "purchase", "signup", "error")
+
+
+@query("outcome_rates", "select user_id, " + ", ".join(f"round(sum((event_type = '{k}')::int) / count(*), 9)::double as \"{k}\"" for k in KINDS) + ", 0.0::double as absent from events group by 1")
 def _(spark, sf):
-    return rounded(metrics.outcome_rates(table(spark, sf, "events"), ["user_id"], "event_type", ["click", "view", "absent"]), "click", "view", "absent")
+    return rounded(metrics.outcome_rates(table(spark, sf, "events"), ["user_id"], "event_type", [*KINDS, "absent"]), *KINDS, "absent")
 
 
 @query("ordered_by_map", "select event_id, event_type from events where event_type in ('view', 'error', 'click')")

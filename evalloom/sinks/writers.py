@@ -28,8 +28,9 @@ def summary_text(df: DataFrame) -> DataFrame:
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A one-row summary or manifest as one JSON document."""
-    summary_text(df.limit(1)).coalesce(1).write.mode(mode).text(path)
+    """A one-row summary or manifest as one JSON document; a second row is an error."""
+    one = F.when(F.monotonically_increasing_id() > 0, F.raise_error(F.lit("a summary has one row"))).otherwise(F.col("value"))
+    summary_text(df).coalesce(1).select(one.alias("value")).write.mode(mode).text(path)
 
 
 def write_run_outputs(path: str, run: str, text: DataFrame, image: DataFrame, mode: str = "errorifexists") -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,11 +20,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _strict(spark: SparkSession, schema: T.StructType | str) -> DataFrameReader:
+    """Reads records of the schema or fails; nothing malformed becomes a row of NULLs."""
+    return spark.read.schema(schema).option("mode", "FAILFAST")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines with an explicit schema; blank lines are skipped, a missing path is an empty frame."""
+    """JSON lines with an explicit schema; blank lines are skipped, a malformed line is an error, a missing path is an empty frame."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return _strict(spark, schema).json(path)
 
 
 def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -45,29 +50,33 @@ def read_keyed_documents(
     """``{field: {id: record}}`` or ``{field: [record]}`` -> one row per record, with ``doc_key`` and ``file``.
 
     ``schema`` is the DDL text of a record. A document is one JSON value and is parsed by one task. Large collections
-    should keep one document per line, which Spark can split.
+    should keep one document per line, which Spark can split. A document that holds neither form is an error.
     """
     doc = spark.read.text(path, wholetext=not one_per_line).select("value", F.col("_metadata.file_name").alias("file"))
+    doc = doc.filter(strip("value") != "")
     by_id, by_list = f"`{field}` map<string, struct<{schema}>>", f"`{field}` array<struct<{schema}>>"
     entries = F.coalesce(
         F.map_entries(F.from_json("value", by_id)[field]),
         F.transform(F.from_json("value", by_list)[field], lambda r, i: F.struct(i.cast("string").alias("key"), r.alias("value"))),
+        F.raise_error(F.concat(F.lit(f"no records under {field!r} in "), F.col("file"))),
     )
     return doc.select("file", F.inline(entries)).select("file", F.col("key").alias("doc_key"), "value.*")
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.json") -> DataFrame:
     """One JSON-array file, or all ``*.json`` files of a folder, concatenated."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(path)
+    return _strict(spark, schema).option("multiLine", True).option("pathGlobFilter", pattern).json(path)
 
 
 def read_yearly_csv(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = r"yob(\d{4})") -> DataFrame:
     """Headerless CSV per year; the year comes from the path, ``line`` orders rows inside a file.
 
-    The order holds for files of one split, as yearly name lists are.
+    ``line`` is (place of the split in its file, number that rises inside a split), so files may have any
+    number of splits. A malformed line is an error.
     """
     year = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int")
-    return spark.read.schema(schema).csv(path).select("*", year.alias("year"), F.monotonically_increasing_id().alias("line"))
+    line = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"))
+    return _strict(spark, schema).csv(path).select("*", year.alias("year"), line.alias("line"))
 
 
 def read_split_table(spark: SparkSession, path: str, splits: Sequence[str] | None = None) -> DataFrame:
@@ -77,12 +86,17 @@ def read_split_table(spark: SparkSession, path: str, splits: Sequence[str] | Non
 
 
 def read_images(spark: SparkSession, path: str, pattern: str = "*.png", decode: bool = True) -> DataFrame:
-    """Image files: name and, when decoded, width, height and pixels (blue-green-red rows)."""
+    """Image files: name and, when decoded, width, height and pixels (blue-green-red rows).
+
+    A file that cannot be decoded is a row with an ``error`` and no measures.
+    """
     if decode:
-        files = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", pattern).load(path)
+        files = spark.read.format("image").option("dropInvalid", False).option("pathGlobFilter", pattern).load(path)
+        fine = F.col("image.width") > 0
         return files.select(
-            F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("file_name"), "image.width", "image.height",
-            F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
+            F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("file_name"), F.when(fine, F.col("image.width")).alias("width"),
+            F.when(fine, F.col("image.height")).alias("height"), F.when(fine, F.col("image.nChannels")).alias("channels"),
+            F.when(fine, F.col("image.data")).alias("data"), F.when(~fine, F.lit("cannot be decoded")).alias("error"),
         )
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "length", "content")
@@ -103,7 +117,7 @@ def read_with_source(
     The exclusion is a filter on file metadata, which prunes the listing, so
     excluded files are not opened.
     """
-    df = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_name"))
+    df = _strict(spark, schema).json(path).withColumn("_file", F.col("_metadata.file_name"))
     return keep_sources(df, "_file", exclude, suffix).drop("_file")
 
 
@@ -126,7 +140,7 @@ def read_runs(
     expected: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Result files -> one frame with the run parsed from the file name, and the expected runs not found."""
-    df = spark.read.schema(schema).json(path)
+    df = _strict(spark, schema).json(path)
     df = df.select("*", *run_of_file(F.col("_metadata.file_name"), pattern, fields))
     return df, None if expected is None else missing_runs(df, expected, fields)
 

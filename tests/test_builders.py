@@ -56,8 +56,8 @@ def test_type_questions_share_their_order(code_map):
 
 def test_more_than_26_options_is_an_error(spark):
     df = spark.range(30).select(F.lit("t").alias("type"), F.col("id").cast("string").alias("value"), F.col("id").cast("string").alias("code"))
-    with pytest.raises(ValueError):
-        choices.mc_lookup(df, 1)
+    with pytest.raises(Exception, match="more than 26 options"):
+        choices.mc_lookup(df, 1).collect()
 
 
 def test_entity_questions(spark):
@@ -114,11 +114,27 @@ def test_text_rows(code_map, grid):
 def test_training_mix_warns(spark):
     base = spark.range(40).select(F.concat(F.lit("b"), "id").alias("id"), F.lit("p").alias("prompt"), F.lit("i").alias("image"))
     aux = base.withColumn("id", F.concat(F.lit("x"), "id")).withColumn("extra", F.lit(1))
+    with pytest.raises(ValueError, match="30 auxiliary validation rows"):
+        prompts.training_mix(base, None, aux, 0.1, 5, 30, 1, "id")
     with pytest.warns(UserWarning):
-        train, val = prompts.training_mix(base, None, aux, 0.1, 5, 30, 1, "id")
+        train, val = prompts.training_mix(base, None, aux, 0.1, 5, 30, 1, "id", lenient=True)
     assert train.count() == 44 and set(val) == {"train"} and val["train"].count() == 5
 
 
+def test_no_caps(spark):
+    values = spark.range(27).select(F.lit("t").alias("type"), F.format_string("v%02d", "id").alias("value"), F.format_string("c%02d", "id").alias("code"))
+    assert prompts.codebook_text(values).count() == 27 * len(C.CODEBOOK_ROWS)
+    attrs = [f"a{i}" for i in range(9)]
+    wide = spark.range(20).select(F.col("id").cast("string").alias("id"), F.lit("i").alias("image"), *[F.lit(a).alias(f"synthetic_{a}") for a in attrs])
+    rows = prompts.permuted_prompts(wide, attrs, 5, "words_only", False, 1, "id", keep=("id",)).collect()
+    assert len(rows) == 100 and all(sorted(r.prompt.split()) == attrs for r in rows)
+    assert len({(r.id, r.prompt) for r in rows}) == 100
+    assert prompts.permuted_prompts(wide, attrs, 1, "words_only", True, 1, "id").first().prompt == " ".join(attrs)
+    assert prompts.attribute_grid(wide.select("id", F.col("id").alias("other")), ["id", "other"]).count() == 400
+    with pytest.raises(ValueError, match="too large"):
+        prompts.attribute_grid(wide.select("id"), ["id"], max_rows=19)
+
+
 def test_specs_reject_unknown_keys(spark):
     df = spark.createDataFrame([('{"prompt":"p","tag":"t","other":1}',)], "value string")
     with pytest.raises(Exception, match="unknown key"):

@@ -82,6 +82,9 @@ def test_judge_errors_stay_in_their_row(spark):
             raise RuntimeError("quota")
         return {"key": row["inference_completion"].upper()}
 
+    whole = spark.createDataFrame([(9007199254740993,), (None,)], "n long")
+    echo = grading.with_judge(whole.coalesce(1), lambda row: {"same": row["n"]}, "same long")
+    assert [(r.n, r.same) for r in echo.collect()] == [(9007199254740993, 9007199254740993), (None, None)]
     df = grading.with_judge(answers(spark, "a", "b", "c").repartition(2), judge, "key string", 2)
     assert column(df, "key") == ["A", None, "C"] and column(df, "grading_error") == [None, "Failed to query judge: quota", None]
 

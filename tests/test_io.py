@@ -117,6 +117,32 @@ def test_images_from_png(spark, tmp_path):
     assert rows["blue.png"] == ("blue", "bottom right", "no")
     assert rows["two.png"][:2] == ("green", None) and rows["none.png"][:2] == (None, None)
     assert readers.read_images(spark, str(tmp_path), decode=False).count() == 4
+    (tmp_path / "torn.png").write_bytes(b"no image")
+    assert [(r.file_name, r.width) for r in readers.read_images(spark, str(tmp_path)).filter("error is not null").collect()] == [("torn.png", None)]
+
+
+def test_malformed_input_is_an_error(spark, tmp_path):
+    def file(name, text):
+        path = tmp_path / name
+        path.write_text(text)
+        return str(path)
+
+    bad = file("bad.jsonl", '{"a": 1}\n{"a": \n')
+    broken = {
+        "jsonl": lambda: readers.read_jsonl(spark, bad, "a int"),
+        "array": lambda: readers.read_json_arrays(spark, file("arr.json", '[{"a": 1}, {"a"'), "a int"),
+        "keyed": lambda: readers.read_keyed_documents(spark, file("doc.json", '{"f": {"k": {"a": 1}'), "f", "a int"),
+        "csv": lambda: readers.read_yearly_csv(spark, file("yob1999.txt", "Ann,F,7\nBob,M,many\n"), "name string, gender string, count long"),
+        "source": lambda: readers.read_with_source(spark, bad, "a int", "none"),
+        "runs": lambda: readers.read_runs(spark, file("m_e_1.jsonl", '{"a": 1}\n{'), "a int")[0],
+    }
+    for name, read in broken.items():
+        with pytest.raises(Exception, match="(?i)malformed|no records"):
+            read().collect()
+            raise AssertionError(name)
+    assert readers.read_jsonl(spark, file("fine.jsonl", '{"a": 1}\n\n{"a": 2}\n'), "a int").count() == 2
+    with pytest.raises(Exception, match="one row"):
+        writers.write_summary(spark.range(5), str(tmp_path / "summary"))
 
 
 def test_hsv_and_components():

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as registered
+from evalloom.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 IN_PYTHON = {"with_judge", "detect_color", "detect_position"}
@@ -12,7 +12,7 @@ IN_PYTHON = {"with_judge", "detect_color", "detect_position"}
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    made = {n: fn(spark, SF) for n, fn in registered.queries().items() if n not in ("upsert_stream", "grade_stream")}
+    made = {n: fn(spark, SF) for n, (fn, _) in all_queries().items() if n not in ("upsert_stream", "grade_stream")}
     return {n: df._jdf.queryExecution().toString() for n, df in made.items()}
 
 
@@ -26,7 +26,7 @@ def test_no_nested_loop_join(plans):
 
 
 def test_python_only_where_needed(plans):
-    found = {n for n, p in plans.items() if re.search(r"MapInPandas|ArrowEvalPython|BatchEvalPython|PythonUDF", p)}
+    found = {n for n, p in plans.items() if re.search(r"MapInPandas|MapInArrow|ArrowEvalPython|BatchEvalPython|PythonUDF", p)}
     assert found == IN_PYTHON
 
 
