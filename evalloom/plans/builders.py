@@ -173,10 +173,10 @@ IMAGE_CHOICES = """select event_id, concat('What is', chr(10), '<image 1> ', eve
 
 @query("mc_union_configs", f"""select event_id, event_type as field, image_1 as image,
     'What is ' || event_type || '?' || chr(10) || chr(10) || '(A) ' || event_type || chr(10) || '(B) ' || substr(regexp_extract(options, '"(.*)"', 1), 1) || chr(10) || chr(10) || 'Answer with the option''s letter from the given choices directly.' as prompt,
-    answer as expected_key from ({duck(IMAGE_CHOICES)}) where image_1 is not null and image_2 is null and question_type = 'multiple-choice' and event_type in ('click', 'view', 'signup')""")
+    answer as expected_key from ({duck(IMAGE_CHOICES)}) where image_1 is not null and image_2 is null and question_type = 'multiple-choice'""")
 def _(spark, sf):
     df = derive(spark, sf, IMAGE_CHOICES)
-    frames = {k: df.filter(F.col("event_type") == k).drop("event_type") for k in ("click", "view", "signup")}
+    frames = {k: df.filter(F.col("event_type") == k).drop("event_type") for k in ("click", "view", "purchase", "signup", "error")}
     return choices.mc_union_configs(frames, 2).select("event_id", "field", "image", "prompt", "expected_key")
 
 

@@ -121,7 +121,7 @@ SCORES = """select doc_id, case doc_id % 6 when 0 then null when 1 then concat('
     else concat('Sure! <"textual_analysis": "', replace(text, '"', ''''), '", "scores": <"present_and_accurate": ', doc_id % 10, '.5>> Done.') end as raw from {documents}"""
 
 
-@query("parse_judge_scores", """select doc_id, case doc_id % 6 when 0 then 'no response' when 1 then 'response is not a JSON object' when 2 then 'Invalid response structure: {"textual_analysis": "x"}...' else replace(text, '"', '''') end as textual_analysis,
+@query("parse_judge_scores", """select doc_id, case doc_id % 6 when 0 then 'no response' when 1 then 'response is not a JSON object' when 2 then 'Invalid response structure: {"textual_analysis": "x"}' else replace(text, '"', '''') end as textual_analysis,
     case when doc_id % 6 < 3 then 0.0::double else doc_id % 10 + 0.5::double end as score, doc_id % 6 < 3 as failed from documents""")
 def _(spark, sf):
     df = derive(spark, sf, SCORES).selectExpr("doc_id", f"{TO_BRACES} as response")
