@@ -90,7 +90,7 @@ def mc_value_to_type(code_map: DataFrame, seed: int) -> DataFrame:
 
 
 def sample_distractors(
-    df: DataFrame, attr: str, n: int, seed: int | str, key: str, carry: Sequence[str], within: str | None = None,
+    df: DataFrame, attr: str, n: int, seed: int | str, key: str | Sequence[str], carry: Sequence[str], within: str | None = None,
     name: str = "distractors",
 ) -> DataFrame:
     """Per row ``n`` different rows whose ``attr`` differs, as an array of ``carry`` structs.
@@ -101,10 +101,12 @@ def sample_distractors(
     cut into ``n`` strata and one position is drawn from each: distinct by
     construction, every candidate reachable, no pairs compared. The draw is an
     equi-join on the position, n rows per row, whatever the value frequencies.
+    ``key`` must identify a row (in its group); a repeated key is an error.
     """
     w = [within] if within else []
-    keyed = df.select(key, attr, *[c for c in carry if c not in (key, attr, within)], *w)
-    placed = global_index(keyed.withColumn("_okey", seeded_key(seed, *w, key)), [*w, attr, "_okey", key], "_pos")
+    keys = [key] if isinstance(key, str) else list(key)
+    keyed = df.select(*dict.fromkeys([*keys, attr, *carry, *w]))
+    placed = global_index(keyed.withColumn("_okey", seeded_key(seed, *w, *keys)), [*w, attr, "_okey", *keys], "_pos")
     spans = placed.groupBy(*w, attr).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_own"))
     if within:
         whole = spans.groupBy(within).agg(F.min("_start").alias("_base"), F.sum("_own").alias("_total"))
@@ -114,30 +116,32 @@ def sample_distractors(
         spans = spans.withColumn("_whole", one_row(whole)).select("*", "_whole._base", "_whole._total").drop("_whole")
     rest = F.col("_total") - F.col("_own")
     lo, hi = F.floor(rest * F.col("_j") / n), F.floor(rest * (F.col("_j") + 1) / n)
-    offset = lo + F.pmod(seeded_int(seed, *w, key, "_j"), hi - lo)
+    offset = lo + F.pmod(seeded_int(seed, *w, *keys, "_j"), hi - lo)
     target = F.when(rest < n, F.raise_error(F.lit("fewer candidates than distractors"))).otherwise(
         F.col("_base") + F.pmod(F.col("_start") - F.col("_base") + F.col("_own") + offset, F.col("_total"))
     )
     asked = (
-        placed.select(*w, attr, key)
+        placed.select(*dict.fromkeys([*w, attr, *keys]))
         .join(spans, [*w, attr])
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        .select(*w, key, "_j", target.cast("long").alias("_pos"))
+        .select(*w, *keys, "_j", target.cast("long").alias("_pos"))
     )
     drawn = placed.select("_pos", F.struct(*carry).alias("_item"))
-    found = asked.join(drawn, "_pos").groupBy(*w, key).agg(F.array_sort(F.collect_list(F.struct("_j", "_item"))).alias("_drawn"))
-    return found.select(*w, key, F.transform("_drawn", lambda s: s["_item"]).alias(name))
+    found = asked.join(drawn, "_pos").groupBy(*w, *keys).agg(F.array_sort(F.collect_list(F.struct("_j", "_item"))).alias("_drawn"))
+    once = F.when(F.size("_drawn") == n, F.col("_drawn")).otherwise(F.raise_error(F.concat(F.lit("not the key of one row: "), F.concat_ws("|", *keys))))
+    return found.select(*w, *keys, F.transform(once, lambda s: s["_item"]).alias(name))
 
 
 def mc_type_to_value(code_map: DataFrame, n: int, seed: int) -> DataFrame:
     """``Which is a <type>?``: n - 1 options of other types, the right one at a seeded slot.
 
-    The real and the code-name question share distractors and order.
+    The real and the code-name question share distractors and order. A value may
+    occur under several types; each (type, value) is asked by itself.
     """
-    others = sample_distractors(code_map, "type", n - 1, seed, "value", ["value", "code"])
+    others = sample_distractors(code_map, "type", n - 1, seed, ["type", "value"], ["value", "code"])
     own = F.struct("value", "code")
-    slot = F.pmod(seeded_int(seed, "value", F.lit("slot")), F.lit(n)).cast("int") + 1
-    q = code_map.join(others, "value").withColumn("_opts", F.array_insert("distractors", slot, own))
+    slot = F.pmod(seeded_int(seed, "type", "value", F.lit("slot")), F.lit(n)).cast("int") + 1
+    q = code_map.join(others, ["type", "value"]).withColumn("_opts", F.array_insert("distractors", slot, own))
     q = _both_names(q)
     options = F.transform("_opts", lambda o: F.when(F.col("is_synthetic_query"), o["code"]).otherwise(o["value"]))
     q = q.withColumn("options", options)
@@ -201,7 +205,8 @@ def mc_entity_reverse(
 ) -> DataFrame:
     """Attribute value -> which entity; distractors differ in that attribute.
 
-    The option order is shared by the name and the description question.
+    The option order is shared by the name and the description question. A name
+    that stands for several entities is an error.
     """
     rows = _entity_rows(df.withColumn("description", X.describe_attributes(df.columns, synonyms, labels)), name, list(labels))
     others = sample_distractors(rows, "concept_value", n - 1, seed, name, [name, "description"], within="concept_type")

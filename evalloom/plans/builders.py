@@ -75,6 +75,7 @@ def _(spark, sf):
 
 
 PARTS = "select concat('type ', p_type) as type, concat('part ', p_partkey) as value, concat('code ', p_partkey) as code from {part}"
+RECURRING = "select distinct concat('brand ', p_brand) as type, p_type as value, concat('code ', p_brand, ' ', p_type) as code from {part}"
 
 
 @query("mc_value_to_type", f"""with m as ({duck(PARTS)}), t as (select list(type order by type) as ts from (select distinct type from m)),
@@ -86,10 +87,11 @@ def _(spark, sf):
     return joined(choices.mc_value_to_type(derive(spark, sf, PARTS), 2))
 
 
-def distractors(src: str, attr: str, n: int, seed, key: str, within: str | None = None) -> str:
+def distractors(src: str, attr: str, n: int, seed, key: str | list, within: str | None = None) -> str:
     """Common table expressions ending in ``drawn`` (within, key, j, pos) and ``placed`` rows."""
     w = f"{within}, " if within else ""
-    keys = [within, key] if within else [key]
+    own = [key] if isinstance(key, str) else key
+    keys, key = [within, *own] if within else own, ", ".join(own)
     part = f"partition by {within}" if within else ""
     return f"""src as ({src}), placed as (select *, row_number() over (order by {w}{attr}, {okey(seed, *keys)}, {key}) - 1 as pos from src),
         spans as (select *, min(pos) over (partition by {w}{attr}) as start, count(*) over (partition by {w}{attr}) as own,
@@ -111,15 +113,15 @@ def _(spark, sf):
     )
 
 
-@query("mc_type_to_value", f"""with {distractors(duck(PARTS), 'type', 3, 3, 'value')},
-    o as (select d.value, list(struct_pack(value := p.value, code := p.code) order by d.j) as others from drawn d join placed p using (pos) group by d.value),
-    s as (select src.*, others, {u32(3, 'src.value', "'slot'")} % 4 as slot from src join o on src.value = o.value),
+@query("mc_type_to_value", f"""with {distractors(duck(RECURRING), 'type', 3, 3, ['type', 'value'])},
+    o as (select d.type, d.value, list(struct_pack(value := p.value, code := p.code) order by d.j) as others from drawn d join placed p using (pos) group by 1, 2),
+    s as (select src.*, others, {u32(3, 'src.type', 'src.value', "'slot'")} % 4 as slot from src join o using (type, value)),
     l as (select *, list_concat(list_concat(others[1:slot], [struct_pack(value := value, code := code)]), others[slot + 1:]) as opts from s),
     q as (select *, false as syn, value as query, list_transform(opts, lambda x: x.value) as o from l union all select *, true, code, list_transform(opts, lambda x: x.code) from l)
     select 'Which of the following is a ' || type || '?' || chr(10) || {lettered('o')} || chr(10) || '{RULE}' as prompt, {key_of('o', 'query')} as expected_key,
     array_to_string(o, '|') as options, type as concept_type, value as concept_value, code as concept_value_synthetic, syn as is_synthetic_query, 'type_to_value' as direction from q""")
 def _(spark, sf):
-    return joined(choices.mc_type_to_value(derive(spark, sf, PARTS), 4, 3))
+    return joined(choices.mc_type_to_value(derive(spark, sf, RECURRING), 4, 3))
 
 
 # --------------------------------------------------------------- entity MC

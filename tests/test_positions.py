@@ -96,6 +96,9 @@ def test_distractors_need_candidates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, v string")
     with pytest.raises(Exception, match="fewer candidates"):
         choices.sample_distractors(df, "v", 2, 1, "id", ["id"]).collect()
+    twice = spark.createDataFrame([(k % 5, k % 3) for k in range(30)], "id int, v int")
+    with pytest.raises(Exception, match="not the key of one row"):
+        choices.sample_distractors(twice, "v", 2, 1, "id", ["id"]).collect()
 
 
 def test_round_robin_sizes_differ_by_at_most_one(spark):
