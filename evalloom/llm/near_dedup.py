@@ -4,8 +4,9 @@
 2. Signatures are cut into bands; classes that agree on a band share a bucket.
 3. Buckets name candidates in turns. In each, classes are paired with a centre of their bucket, drawn
    anew, if it is in another component; that joins large groups in linear work. When few pairs across
-   components are left in the buckets, or a turn links few, all of those are compared, but for pairs
-   that shingles held by one component alone rule out: no link is lost and no group gives all its pairs.
+   components are left in the buckets, or a turn links few, what is left of each bucket, after sets that
+   shingles held by their own component alone rule out, is compared block by block inside tasks, which
+   put out links only: no link is lost and no group gives all its pairs.
 4. Candidates compare their signatures batch by batch. After each batch the posterior chance that
    the similarity reaches the threshold, given the matches so far and a uniform prior, decides:
    pairs below the chosen miss probability are dropped.
@@ -29,6 +30,7 @@ BANDS, ROWS = 32, 5  # misses a pair at similarity 0.8 with chance (1 - 0.8 ** 5
 BATCH = 32  # hashes compared between two decisions
 MISS = 1e-7
 BROADCAST_NODES = 200_000
+BLOCK = 128  # nodes of a bucket that a task compares with as many others
 #: All pairs across components are compared once there are so few per member of a bucket, or a turn has linked so few per member.
 PAIRS_PER_MEMBER, NEW_LINKS = 2, 0.01
 
@@ -204,18 +206,44 @@ def _elsewhere(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(parts: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """All pairs within a bucket whose nodes are in different components and can still be linked.
+    """(key, low, high, node, part, block, n): what is left of the buckets, each cut into blocks of about BLOCK nodes, for every pair of blocks.
 
-    Members meet the bucket's other components, never their own. The intersection of such a pair is at most the
-    smaller ``rest``; sets for which this rules out every partner are left out, then pairs for which it does.
+    The intersection of two sets of different components is at most the smaller ``rest``; sets for which this rules
+    out every partner are left out.
     """
     bound = sizes.join(rest, "node").where(100 * F.col("rest") >= percent * F.col("n"))
-    known = parts.join(bound, "node")
-    other = known.select("key", F.col("part").alias("other")).distinct()
-    meet = known.join(other, "key").where("part < other").select("key", F.col("other").alias("part"), F.col("node").alias("from"), F.col("n").alias("n_from"), F.col("rest").alias("rest_from"))
-    most = F.least("rest", "rest_from")
-    pairs = meet.join(known, (meet.key == known.key) & (meet.part == known.part) & (100 * most >= percent * (F.col("n") + F.col("n_from") - most)))
-    return pairs.select(*_pairs("from", "node")).distinct()
+    known = parts.join(bound, "node").select("key", "node", "part", "n")
+    blocks = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").drop("x", "y")
+    placed = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "part", "block", "n")
+
+
+def _judged(least: list[int], percent: int):
+    def judged(group: pa.Table) -> pa.Table:
+        """Links between the nodes of two blocks that are in different components: by size, by signatures batch by batch, then on the sets."""
+        node, part, block, n = (group.column(c).to_numpy() for c in ("node", "part", "block", "n"))
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        right = np.flatnonzero(block == high)
+        a, b = [], []
+        for i in np.flatnonzero(block == low):
+            live = right[(part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            live = live[live > i] if low == high else live
+            matches = np.zeros(len(node), np.int64)
+            for k, m in enumerate(least):
+                columns = slice(k * BATCH, (k + 1) * BATCH)
+                matches[live] += (signature[live, columns] == signature[i, columns]).sum(axis=1)
+                live = live[matches[live] >= m]
+            for j in live:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return judged
 
 
 def _split_buckets(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
@@ -262,11 +290,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             wanted = F.broadcast(wanted)  # 32 bytes and an id each: the texts then need no shuffle
         return written(source.join(wanted, "id").select("node", "print", "text").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]))
 
-    def links(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    signed = classes.select("node", "signature")
+
+    def links(pairs: DataFrame) -> DataFrame:
         fits = written(_paired(pairs, sizes, "n").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b"))
-        signatures = _narrowed(classes.select("node", "signature"), fits.select(both).distinct())
+        signatures = _narrowed(signed, fits.select(both).distinct())
         likely = written(_paired(fits, signatures, "signature").mapInArrow(_likely(least), "a long, b long, matches int"))
-        sets = sets_of(likely.select(both).distinct()) if sets is None else sets
+        sets = sets_of(likely.select(both).distinct())
         return written(_paired(likely.select("a", "b"), sets, "set").mapInArrow(_confirmed(percent), "a long, b long"))
 
     edges, labels, turn, found = None, None, 0, 1
@@ -276,8 +306,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         last = turn and (pairs <= PAIRS_PER_MEMBER * size or found < NEW_LINKS * size)
         if last:
-            sets = sets_of(parts.select("node").distinct())
-            new = links(_across(parts, _elsewhere(sets, labels), sizes, percent), sets)
+            nodes = parts.select("node").distinct()
+            sets = sets_of(nodes)
+            blocks = _across(parts, _elsewhere(sets, labels), sizes, percent)
+            whole = blocks.join(_narrowed(signed, nodes), "node").join(sets, "node")
+            new = written(whole.groupBy("key", "low", "high").applyInArrow(_judged(least, percent), "a long, b long").distinct())
         else:
             new = links(_around_centres(parts, turn))
         found, turn = new.count(), turn + 1
