@@ -27,8 +27,8 @@ from evalloom.llm.arrays import flat, mix, ranges, span_hash, sums, text_chunks
 from evalloom.llm.store import written
 
 MATCH, GRAM = 50, 24
-CHUNK = 4 << 20  # bytes of text in a chunk
-ENTRIES = 1 << 20  # anchors in a bucket, about
+CHUNK = 2 << 20  # bytes of text in a chunk
+ENTRIES = 1 << 19  # anchors in a bucket, about
 BATCHES = 4
 LATER = np.int64((1 << 63) - 1)  # stands for a null id: after all others
 
