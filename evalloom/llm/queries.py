@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts
+from evalloom.llm.oracles import ORACLE_SQL  # noqa: F401  read by the driver's entry
 from evalloom.plans.common import table
 
 
@@ -89,6 +90,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
-ORACLE_SQL: dict[str, str] = {}
-
 QUERIES = {f.__name__: f for f in (op1_edit_token_counts, op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup)}
