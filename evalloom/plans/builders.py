@@ -8,20 +8,12 @@ from pyspark.sql import functions as F
 
 from evalloom import constants as C
 from evalloom.operators import choices, people, prompts, specs
-from evalloom.plans.common import derive, duck, key_of, lettered, okey, parse_md, shuffled, table, u32
+from evalloom.plans.common import derive, duck, key_of, lettered, okey, parse_md, registry, shuffled, table, u32
 
-QUERIES = {}
+QUERIES, query = registry()
 RULE = C.LETTER_RULE
 
 
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
-
-
 def joined(df, sep="|"):
     """Arrays as text, so results compare cell by cell."""
     return df.withColumn("options", F.array_join("options", sep))

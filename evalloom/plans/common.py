@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,20 @@ TABLES = (
 )
 
 
+def registry() -> tuple[dict, Callable]:
+    """(queries of a module, decorator that adds one with the SQL that checks it)."""
+    found: dict[str, tuple] = {}
+
+    def query(name: str, sql: str | None = None):
+        def add(fn):
+            found[name] = (fn, sql)
+            return fn
+
+        return add
+
+    return found, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

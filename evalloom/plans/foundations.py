@@ -6,19 +6,11 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import seeded, text
 from evalloom.operators import positions
-from evalloom.plans.common import derive, duck, okey, scratch, shuffled, table, u32
+from evalloom.plans.common import derive, duck, okey, registry, scratch, shuffled, table, u32
 from evalloom.sinks import writers
 from evalloom.sources import readers
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 @query("seeded_key", f"select o_orderkey, {okey(42, 'o_orderkey', 'o_orderpriority')} as okey from orders")

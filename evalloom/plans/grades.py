@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import detections, grading, images
-from evalloom.plans.common import derive, duck, stripped, table
+from evalloom.plans.common import derive, duck, registry, stripped, table
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 def filled(df, *cols):

@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 from evalloom.functions import sequences as Q
 from evalloom.operators import sequences
 from evalloom.operators.positions import index_by_key
-from evalloom.plans.common import okey, table
+from evalloom.plans.common import okey, registry, table
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 def shown(c, name):

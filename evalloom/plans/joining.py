@@ -6,20 +6,12 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import joins, shards
 from evalloom.plans.builders import ATTR_ROWS, PART_MAP
-from evalloom.plans.common import derive, duck, okey, table
+from evalloom.plans.common import derive, duck, okey, registry, table
 
-QUERIES = {}
+QUERIES, query = registry()
 ATTRS = joins.ATTRS
 
 
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
-
-
 FACES = """select concat('face_', lpad(cast(c_custkey as string), greatest(4, length(cast(c_custkey as string))), '0'), '.png') as image_name,
     case when c_custkey % 2 = 0 then 'male' else 'female' end as gender from {customer}"""
 NAME_PAIRS = """select lpad(cast(c_custkey as string), greatest(4, length(cast(c_custkey as string))), '0') as id, concat('Mr ', c_name) as name_male, concat('Ms ', c_name) as name_female from {customer}"""

@@ -5,21 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import joins, metrics
-from evalloom.plans.common import derive, duck, table
+from evalloom.plans.common import derive, duck, registry, table
 from evalloom.plans.joining import CASES, IMAGE_ROWS, TEXT_ROWS
 
-QUERIES = {}
+QUERIES, query = registry()
 ATTRS = joins.ATTRS
 
 
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
-
-
 def rounded(df, *cols):
     """Doubles to nine places; NULL (no value) as -1 so that both engines print it alike."""
     return df.withColumns({c: F.coalesce(F.round(F.col(c), 9), F.lit(-1.0)) for c in cols})

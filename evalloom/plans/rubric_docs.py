@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import joins, rubrics
-from evalloom.plans.common import derive, duck, table
+from evalloom.plans.common import derive, duck, registry, table
 from evalloom.plans.measures import r, rounded, sem
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 STATUS = "case {0} % 4 when 0 then 'CORRECT' when 1 then 'INCORRECT' when 2 then 'MISSING' else 'correct' end"

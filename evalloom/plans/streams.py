@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import grading
-from evalloom.plans.common import derive, scratch, table
+from evalloom.plans.common import derive, registry, scratch, table
 from evalloom.plans.grades import ANSWERS, STRICT, filled
 from evalloom.sinks.writers import write_jsonl
 from evalloom.streaming import results
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 @query("grade_stream", STRICT)

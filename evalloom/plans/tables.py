@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import tabular
-from evalloom.plans.common import derive, duck, table, u32
+from evalloom.plans.common import derive, duck, registry, table, u32
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 @query("single_turn_pairs", """select conv_id, max(case when turn = 0 then text end) as prompt, max(case when turn = 1 then text end) as completion

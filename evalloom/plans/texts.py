@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 from evalloom import constants as C
 from evalloom.functions import text as X
 from evalloom.operators import sequences
-from evalloom.plans.common import derive, duck, lettered, parse_md, stripped, table
+from evalloom.plans.common import derive, duck, lettered, parse_md, registry, stripped, table
 
-QUERIES = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
-
-    return add
+QUERIES, query = registry()
 
 
 @query("option_keys", "select o_orderkey, array_to_string(list_transform(range(o_orderkey % 9), lambda i: chr((65 + i)::int)), ',') as keys from orders")
