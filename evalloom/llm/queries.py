@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import chat, decontamination, near_dedup, packing, periodic_runs, pitman_yor, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts
+from evalloom.llm import chat, decontamination, near_dedup, packing, periodic_runs, pitman_yor, pu_quality, quality, secret_ledger, sentence_dedup, suffix_dedup, token_counts, whitening
 from evalloom.llm.oracles import ORACLE_SQL  # noqa: F401  read by the driver's entry
 from evalloom.plans.common import table
 
@@ -90,6 +90,16 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "prior")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), tail=F.crc32(F.col("doc_id").cast("string")))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
@@ -107,6 +117,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_edit_token_counts, op2_best_fit_packing, op3_chat_format, op4_benchmark_decontamination, op5_sentence_spans, op6_pitman_yor_scores, op7_quality_cascade,
-        op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup, op13_periodic_runs,
+        op8_minhash_near_dedup, op9_secret_ledger, op10_suffix_array_dedup, op11_pu_quality, op12_whitening, op13_periodic_runs,
     )
 }

@@ -16,6 +16,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of tables that ``written`` made and that nothing reads any more; other sources are never touched."""
+    spark = df.sparkSession
+    home = use_checkpoint_dir(spark)
+    for file in df.inputFiles():
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("table-"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{folder.rsplit('/', 1)[-1]}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or the first of its underscored forms that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -143,6 +143,46 @@ def test_suffix_dedup(spark, docs):
         assert got[i].kept_sha256 == sha(bytes(b for k, b in enumerate(text) if k not in gone))
 
 
+def test_pu_quality(spark):
+    """Held-out texts: nearly all bad ones below nearly all good ones, and the estimated share of good texts near the true one."""
+    sf = SF.replace("0.001", "0.01")
+    got = {r.doc_id: r for r in QUERIES["op11_pu_quality"](spark, sf).collect()}
+    assert set(got) == {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+    held = [i for i in labels if i in got and got[i].held_out]
+    good, bad = ([got[i].score for i in held if labels[i] == q] for q in (1, 0))
+    assert len(good) > 50 and len(bad) > 5
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.97
+    assert np.mean([(got[i].predicted == labels[i]) for i in held]) > 0.8
+    share = np.mean([labels[i] for i in labels if i in got])
+    assert abs(got[held[0]].prior - share) < 0.2
+
+
+def test_whitening(spark):
+    got = collections.defaultdict(dict)
+    for r in QUERIES["op12_whitening"](spark, SF).collect():
+        got[r.vec_id][r.component] = r
+    x = {r.vec_id: tuple(math.floor(64 * c) + 1_000_000 for c in r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    assert set(got) == set(x) and all(sorted(g) == list(range(1, 17)) for g in got.values())
+    fit = sorted(set(x.values()))
+    n, total = len(fit), [sum(c) for c in zip(*fit)]
+    centred = np.array([[n * c - s for c, s in zip(v, total)] for v in fit]) / n
+    covariance = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:16], vectors[:, ::-1][:, :16]
+    ids = sorted(x)
+    for k in range(16):
+        column = np.array([got[i][k + 1].whitened for i in ids])
+        want = (np.array([[n * c - s for c, s in zip(x[i], total)] for i in ids]) / n) @ vectors[:, k] / math.sqrt(values[k])
+        assert min(np.abs(column - want).max(), np.abs(column + want).max()) < 1e-8
+        assert math.isclose(got[ids[0]][k + 1].explained, values[k] / np.trace(covariance), rel_tol=1e-10)
+    for i in ids:
+        r = got[i][1]
+        assert r.n == n and r.deviation == sum((n * c - s) ** 2 for c, s in zip(x[i], total)) and r.identity_error < 1e-9
+
+
 def test_periodic_runs(spark, docs):
     got = rows(spark, "op13_periodic_runs")
     assert set(got) == {i for i, _ in docs}
