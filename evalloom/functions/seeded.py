@@ -6,9 +6,17 @@ executor or another cluster size cannot change a draw.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalloom.functions.binding import bind
+
+PRIME = 2147483647  # 2^31 - 1: products of two remainders fit into 64 bits
+ROUNDS = 6
+WALK = 20
+
 
 def column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -43,3 +51,44 @@ def pick_one(arr: Column | str, seed: int | str, *keys: Column | str) -> Column:
 def keyed_bernoulli(p: float, seed: int | str, *keys: Column | str) -> Column:
     """True with probability ``p``."""
     return seeded_int(seed, *keys) / F.lit(float(2**32)) < F.lit(float(p))
+
+
+def round_keys(seed: int | str) -> list[int]:
+    """One number per round; the last bit tells which half a round changes."""
+    digits = [hashlib.md5(f"{seed}|{r}".encode()).hexdigest() for r in range(ROUNDS)]
+    return [int(d[:7], 16) * 2 + r % 2 for r, d in enumerate(digits)]
+
+
+def whole(x: Column, y: Column) -> Column:
+    """Whole-number division of numbers that aren't negative, exact in all 64 bits."""
+    return F.call_function("div", x, y)
+
+
+def permuted(place: Column | str, n: Column | int, seed: int | str, tweak: Column | int = 0) -> Column:
+    """Where ``place`` goes in a pseudo-random order of 0..n-1; each seed and each ``tweak`` (a whole number, not negative) is an order of its own.
+
+    A bijection computed per row, so no order of n numbers is ever held: Feistel rounds on the halves x and y of
+    place = x + a y, a being just above the root of n and b the least that covers n. A result beyond n is
+    permuted again. Fewer than a places lie beyond, so a walk is hardly ever longer than two steps; none is
+    longer than WALK below n = WALK^2, and one that were would be an error, not a wrong place.
+    """
+    number = lambda c: column(c).cast("long") if not isinstance(c, int) else F.lit(c).cast("long")
+    keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed)])
+
+    def one(z: Column, s: Column) -> Column:
+        def changed(state: Column, k: Column) -> Column:
+            x, y, even = F.pmod(state, s.a), whole(state, s.a), F.pmod(k, F.lit(2)) == 0
+            mixed = bind(F.pmod(F.when(even, y).otherwise(x) + k + s.t, F.lit(PRIME)), lambda h: F.pmod(h * h + 48271 * h, F.lit(PRIME)))
+            return F.when(even, F.pmod(x + mixed, s.a) + s.a * y).otherwise(x + s.a * F.pmod(y + mixed, s.b))
+
+        return F.aggregate(keys, z, lambda z, k: bind(z, lambda state: changed(state, k)))
+
+    def walk(s: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(WALK))
+        return F.aggregate(steps, one(s.z, s), lambda z, _: F.when(z < s.n, z).otherwise(one(z, s)))
+
+    a = F.floor(F.sqrt(number(n).cast("double"))).cast("long") + 1
+    sized = F.struct(number(place).alias("z"), number(n).alias("n"), a.alias("a"), F.pmod(F.pmod(number(tweak), F.lit(PRIME)) * 1103515245 + 12345, F.lit(PRIME)).alias("t"))
+    with_b = lambda s: F.struct(s.z.alias("z"), s.n.alias("n"), s.a.alias("a"), whole(s.n + s.a - 1, s.a).alias("b"), s.t.alias("t"))
+    found = bind(sized, lambda s: bind(with_b(s), lambda t: F.struct(walk(t).alias("z"), t.n.alias("n"))))
+    return F.when(found.z < found.n, found.z).otherwise(F.raise_error(F.lit("no place found in a permutation")))

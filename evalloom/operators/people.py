@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evalloom import constants as C
 from evalloom.functions import text as X
-from evalloom.functions.seeded import pick_one, seeded_int
-from evalloom.operators.positions import index_by_key
+from evalloom.functions.seeded import permuted, pick_one, whole
+from evalloom.operators.positions import global_index, index_by_key
 
 
 def random_secondary(
@@ -59,28 +59,24 @@ def sample_unique_names(
 ) -> tuple[DataFrame, int]:
     """(``n`` full names, number missing). Parts never repeat unless ``allow_dup_parts``.
 
-    Without repeats both lists are shuffled and paired by position. With
-    repeats, ten draws per wanted name pick one position in each list and equal
-    full names are kept once, in draw order.
+    Without repeats both lists are shuffled and paired by position. With repeats, name d is pair number perm(d) of all
+    pairs of a first and a last name, in a seeded permutation: ``n`` different pairs whenever there are that
+    many, and never more drawn than asked for. Both lists must hold distinct names, last names being one word.
     """
-    below = None if allow_dup_parts else n
     own = first.filter(F.col("gender") == gender).select(F.col("name").alias("first_name"))
+    family = last.select(F.col("name").alias("last_name"))
+    below = None if allow_dup_parts else n
     firsts = index_by_key(own, f"{seed}-{gender}-first", "first_name", "_pos", below=below)
-    lasts = index_by_key(last.select(F.col("name").alias("last_name")), f"{seed}-{gender}-last", "last_name", "_pos", below=below)
+    lasts = index_by_key(family, f"{seed}-{gender}-last", "last_name", "_pos", below=below)
     full = F.concat_ws(" ", "first_name", "last_name").alias("name")
+    n_first, n_last = own.count(), family.count()
     if not allow_dup_parts:
-        names = firsts.join(lasts, "_pos").select(F.col("_pos").alias("pos"), full)
-    else:
-        n_first, n_last = firsts.count(), lasts.count()
-        draws = first.sparkSession.range(10 * n).select(
-            F.col("id").alias("draw"),
-            F.pmod(seeded_int(f"{seed}-{gender}", "id", F.lit("first")), F.lit(max(1, n_first))).alias("_f"),
-            F.pmod(seeded_int(f"{seed}-{gender}", "id", F.lit("last")), F.lit(max(1, n_last))).alias("_l"),
-        )
-        pairs = draws.join(firsts.withColumnRenamed("_pos", "_f"), "_f").join(lasts.withColumnRenamed("_pos", "_l"), "_l")
-        once = pairs.select("draw", full).groupBy("name").agg(F.min("draw").alias("pos"))
-        names = once.select("pos", "name").orderBy("pos").limit(n)
-    return names, n - names.count()
+        return firsts.join(lasts, "_pos").select(F.col("_pos").alias("pos"), full), max(0, n - min(n_first, n_last))
+    pairs = n_first * n_last
+    drawn = first.sparkSession.range(min(n, pairs)).withColumn("_pair", permuted("id", max(1, pairs), f"{seed}-{gender}"))
+    parts = drawn.select(F.col("id").alias("pos"), whole(F.col("_pair"), F.lit(max(1, n_last))).alias("_f"), F.pmod("_pair", F.lit(max(1, n_last))).alias("_l"))
+    named = parts.join(firsts.withColumnRenamed("_pos", "_f"), "_f").join(lasts.withColumnRenamed("_pos", "_l"), "_l")
+    return named.select("pos", full), max(0, n - pairs)
 
 
 def pair_name_lists(a: DataFrame, b: DataFrame, pos: str = "pos", name: str = "name") -> DataFrame:
@@ -92,6 +88,4 @@ def pair_name_lists(a: DataFrame, b: DataFrame, pos: str = "pos", name: str = "n
 
 
 def index_from_order(df: DataFrame, order: str) -> DataFrame:
-    from evalloom.operators.positions import global_index
-
     return global_index(df, [order], "_i")

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.context import one_row
+from evalloom.functions.seeded import permuted, whole
 from evalloom.operators.joins import remaining
-from evalloom.operators.positions import global_index, index_by_key
+from evalloom.operators.positions import global_index, index_by_key, joined_back
 
 
-def round_robin_shard(df: DataFrame, n: int, order: Sequence, name: str = "shard") -> DataFrame:
-    """Shard = position in the plan order modulo ``n``."""
-    return global_index(df, order, "_pos").withColumn(name, F.pmod("_pos", F.lit(n)).cast("int")).drop("_pos")
+def round_robin_shard(df: DataFrame, n: int, order: Sequence, name: str = "shard", key: str | Sequence[str] | None = None) -> DataFrame:
+    """Shard = position in the plan order modulo ``n``; with ``key`` only order and key are ranked (see ``global_index``)."""
+    return global_index(df, order, "_pos", key).withColumn(name, F.pmod("_pos", F.lit(n)).cast("int")).drop("_pos")
 
 
 def dedupe_last(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -83,39 +84,31 @@ def interleave_batches(
 ) -> DataFrame:
     """The first ``n_batches`` batches of an endless mix of sources.
 
-    Every source is passed over again and again, reshuffled per pass; each
-    cycle takes ``repeat[i]`` batches of source i. All places are computed from
-    positions: element e of a source's stream is row e mod N of pass e div N,
-    and a worker of rank r sees elements r, r + world, ...
+    Every source is passed over again and again, reshuffled per pass; each cycle takes ``repeat[i]`` batches of source i.
+    Element e of a source's stream is in pass e div N, at place e mod N, and a worker of rank r sees elements r,
+    r + world, ... So only the elements that these batches hold are ever made, however many passes they lie apart: the
+    row of a place is computed by a seeded permutation of the pass. Keys are numbered, elements find theirs, and
+    the other columns are fetched by the key, which must identify a row.
     """
     cycle = sum(repeat)
     frames, offset = [], 0
     for i, (df, times) in enumerate(zip(sources, repeat, strict=True)):
-        size = df.count()
-        if size == 0:
-            raise ValueError(f"source {i} is empty")
         full, part = divmod(n_batches, cycle)
         wanted = (full * times + max(0, min(times, part - offset))) * batch
-        passes = -(-(rank + world * wanted) // size)
-        if wanted == 0:
-            offset += times
-            continue
-        rows = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(0, passes - 1)))))
-        if shuffle:
-            head = rank + world * wanted if passes == 1 else None
-            placed = index_by_key(rows, f"{seed}-{i}", key, "_pos", digits=2, within="pass", below=head)
-        else:
-            placed = global_index(rows, ["pass", key], "_g").withColumn("_pos", F.pmod("_g", F.lit(size))).drop("_g")
-        element = F.col("pass") * size + F.col("_pos")
-        drawn = placed.withColumn("_e", element).filter(F.pmod("_e", F.lit(world)) == rank)
-        drawn = drawn.withColumn("_d", F.floor((F.col("_e") - rank) / world)).filter(F.col("_d") < wanted)
-        own = F.floor(F.col("_d") / batch)
-        place = F.floor(own / times) * cycle + offset + F.pmod(own, F.lit(times))
-        frames.append(
-            drawn.select(
-                place.cast("long").alias("batch"), F.pmod("_d", F.lit(batch)).cast("int").alias("slot"),
-                F.lit(i).alias("source"), "pass", *df.columns,
+        if wanted:
+            size = df.groupBy().agg(F.count(F.lit(1)).alias("_n")).scalar()
+            empty = F.raise_error(F.lit(f"source {i} is empty")).cast("long")
+            drawn = df.sparkSession.range(wanted).select(F.col("id").alias("_d"), F.when(size > 0, size).otherwise(empty).alias("_n"))
+            element = F.lit(rank) + F.col("_d") * world
+            drawn = drawn.withColumns({"pass": whole(element, F.col("_n")), "_place": F.pmod(element, F.col("_n"))})
+            row = permuted("_place", F.col("_n"), f"{seed}-{i}", F.col("pass")) if shuffle else F.col("_place")
+            numbered = index_by_key(df.select(key), f"{seed}-{i}", key, "_row") if shuffle else global_index(df.select(key), [key], "_row")
+            own = whole(F.col("_d"), F.lit(batch))
+            place = whole(own, F.lit(times)) * cycle + offset + F.pmod(own, F.lit(times))
+            asked = drawn.withColumn("_row", row).select(
+                "_row", place.alias("batch"), F.pmod("_d", F.lit(batch)).cast("int").alias("slot"), F.lit(i).alias("source"), F.col("pass").cast("int").alias("pass")
             )
-        )
+            whole_rows = numbered if df.columns == [key] else joined_back(df, numbered, [key], "_row")
+            frames.append(asked.join(whole_rows, "_row", "left").drop("_row"))  # left: an empty source is asked, too
         offset += times
     return reduce(lambda a, b: a.unionByName(b), frames)

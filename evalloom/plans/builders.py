@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evalloom import constants as C
 from evalloom.operators import choices, people, prompts, specs
-from evalloom.plans.common import derive, duck, key_of, lettered, okey, parse_md, registry, shuffled, table, u32
+from evalloom.plans.common import derive, duck, key_of, lettered, okey, parse_md, permuted, registry, shuffled, table, u32
 
 QUERIES, query = registry()
 RULE = C.LETTER_RULE
@@ -442,9 +442,9 @@ def _(spark, sf):
 
 @query("sample_repeated_names", f"""with f as (select name, row_number() over (order by {okey('78-M-first', 'name')}) - 1 as i from ({FIRST_CLEAN}) where gender = 'M'),
     l as (select name, row_number() over (order by {okey('78-M-last', 'name')}) - 1 as i from ({LAST_CLEAN})),
-    d as (select range as draw, {u32('78-M', 'range', "'first'")} % (select count(*) from f) as a, {u32('78-M', 'range', "'last'")} % (select count(*) from l) as b from range(2000)),
-    p as (select f.name || ' ' || l.name as name, min(draw) as pos from d join f on f.i = a join l on l.i = b group by 1)
-    select pos, name from p order by pos limit 200""")
+    s as (select (select count(*) from f) as nf, (select count(*) from l) as nl),
+    d as (select range as pos, {permuted('range', 'nf * nl', '78-M')} as pair, nl from range(200), s where range < nf * nl)
+    select pos, f.name || ' ' || l.name as name from d join f on f.i = pair // nl join l on l.i = pair % nl""")
 def _(spark, sf):
     first, last = people.clean_first_names(derive(spark, sf, FIRST)), people.clean_surnames(derive(spark, sf, LAST))
     return people.sample_unique_names(first, last, 200, "M", 78, allow_dup_parts=True)[0]

@@ -6,6 +6,7 @@ SQL that both engines read the same way.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Callable
@@ -62,6 +63,19 @@ def u32(seed, *cols: str) -> str:
     return f"('0x' || substr({okey(seed, *cols)}, 1, 8))::bigint"
 
 
+def permuted(place: str, n: str, seed, tweak: str = "0") -> str:
+    """SQL of the rounds of a seeded permutation of 0..n-1 over columns ``place``, ``n`` and ``tweak``."""
+    p = 2147483647
+    a, b = f"(floor(sqrt({n}::double))::bigint + 1)", f"(({n} + floor(sqrt({n}::double))::bigint) // (floor(sqrt({n}::double))::bigint + 1))"
+    keys = [int(hashlib.md5(f"{seed}|{r}".encode()).hexdigest()[:7], 16) * 2 + r % 2 for r in range(6)]
+    h = lambda v: f"(({v} + k + (({tweak})::bigint % {p} * 1103515245 + 12345) % {p}) % {p})"
+    mixed = lambda v: f"(({h(v)} * {h(v)} + 48271 * {h(v)}) % {p})"
+    step = f"""case when k % 2 = 0 then (z % {a} + {mixed(f'(z // {a})')}) % {a} + {a} * (z // {a})
+        else z % {a} + {a} * ((z // {a} + {mixed(f'(z % {a})')}) % {b}) end"""
+    one = lambda z: f"list_reduce(list_prepend(({z})::bigint, {keys}::bigint[]), lambda z, k: {step})"
+    return f"list_reduce(list_prepend({one(place)}, range(20)::bigint[]), lambda w, i: case when w < {n} then w else {one('w')} end)"
+
+
 def shuffled(arr: str, seed, *keys: str) -> str:
     key = okey(seed, *keys, "v")
     return f"list_transform(list_sort(list_transform({arr}, lambda v: {{'k': {key}, 'v': v}})), lambda s: s.v)"

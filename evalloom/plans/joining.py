@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import joins, shards
 from evalloom.plans.builders import ATTR_ROWS, PART_MAP
-from evalloom.plans.common import derive, duck, okey, registry, table
+from evalloom.plans.common import derive, duck, okey, permuted, registry, table
 
 QUERIES, query = registry()
 ATTRS = joins.ATTRS
@@ -154,13 +154,13 @@ def _(spark, sf):
     return fine.select("event_id", "event_type", F.col("grading_answer_key").alias("state")).unionByName(redo.withColumn("state", F.lit("redo")))
 
 
-def _stream(src: str, i: int, times: int, offset: int, cycle: int, passes: int, wanted: int, batch: int) -> str:
+def _stream(src: str, i: int, times: int, offset: int, cycle: int, wanted: int, batch: int) -> str:
     return f"""select (d // {batch} // {times}) * {cycle} + {offset} + (d // {batch}) % {times} as batch, (d % {batch})::int as slot, {i}::int as source, pass::int as pass, id from (
-        select id, pass, pass * (select count(*) from ({src})) + row_number() over (partition by pass order by {okey(f'91-{i}', 'pass', 'id')}) - 1 as d
-        from ({src}), range({passes}) t(pass)) where d < {wanted}"""
+        select d, pass, {permuted('d % n', 'n', f'91-{i}', 'pass')} as r from (select range as d, n, range // n as pass from range({wanted}), (select count(*) as n from ({src}))))
+        join (select id, row_number() over (order by {okey(f'91-{i}', 'id')}) - 1 as r from ({src})) using (r)"""
 
 
-@query("interleave_batches", _stream("select 'c' || c_custkey as id from customer", 0, 2, 0, 3, 120, 27 * 64, 64) + " union all " + _stream("select 's' || s_suppkey as id from supplier", 1, 1, 2, 3, 120, 13 * 64, 64))
+@query("interleave_batches", _stream("select 'c' || c_custkey as id from customer", 0, 2, 0, 3, 27 * 64, 64) + " union all " + _stream("select 's' || s_suppkey as id from supplier", 1, 1, 2, 3, 13 * 64, 64))
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     b = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))

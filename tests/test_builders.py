@@ -150,6 +150,17 @@ def test_names(spark):
     assert names.count() == 1 and short == 4
 
 
+def test_every_pair_of_names(spark):
+    first = spark.createDataFrame([(f"F{i}", "F") for i in range(13)] + [("X", "M")], "name string, gender string")
+    last = spark.createDataFrame([(f"L{i}",) for i in range(11)], "name string")
+    for n, found, missing in ((143, 143, 0), (150, 143, 7), (20, 20, 0), (0, 0, 0)):
+        names, short = people.sample_unique_names(first, last, n, "F", 5, allow_dup_parts=True)
+        rows = names.collect()
+        assert len({r.name for r in rows}) == len(rows) == found and short == missing
+        assert sorted(r.pos for r in rows) == list(range(found))
+    assert people.sample_unique_names(first, last, 3, "none", 5, allow_dup_parts=True)[1] == 3
+
+
 def test_registry(code_map):
     assert "code_lookup_mc" in registry.available()
     assert registry.build("code_lookup_mc", code_map, seed=2).count() == 44

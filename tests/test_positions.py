@@ -1,5 +1,9 @@
 """Seeded choices and positions do not depend on partitions, and counts are exact."""
 
+import hashlib
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,10 +114,10 @@ def test_interleave_matches_the_sequential_definition(spark):
     """Batches against a plain walk over the same reshuffled passes, for two workers."""
     sources = [[f"a{i}" for i in range(5)], [f"b{i}" for i in range(3)]]
     frames = [spark.createDataFrame([(x,) for x in s], "id string") for s in sources]
-    import hashlib
 
     def order(i, p):
-        return sorted(sources[i], key=lambda x: hashlib.md5(f"7-{i}|{p}|{x}".encode()).hexdigest())
+        numbered = sorted(sources[i], key=lambda x: hashlib.md5(f"7-{i}|{x}".encode()).hexdigest())
+        return [numbered[plain_permuted(k, len(numbered), f"7-{i}", p)] for k in range(len(numbered))]
 
     for rank in (0, 1):
         streams = [[x for p in range(40) for x in order(i, p)][rank::2] for i in range(2)]
@@ -126,3 +130,89 @@ def test_interleave_matches_the_sequential_definition(spark):
         for b, (source, rows) in enumerate(expected):
             mine = sorted((r for r in got if r.batch == b), key=lambda r: r.slot)
             assert [r.id for r in mine] == rows and {r.source for r in mine} == {source}
+
+
+# ------------------------------------------------------------ seeded permutations
+def plain_permuted(place, n, seed, tweak=0):
+    p, a = 2147483647, int(math.sqrt(n)) + 1
+    b, t = -(-n // a), (tweak % p * 1103515245 + 12345) % p
+    keys = [int(hashlib.md5(f"{seed}|{r}".encode()).hexdigest()[:7], 16) * 2 + r % 2 for r in range(6)]
+    while True:
+        for k in keys:
+            x, y = place % a, place // a
+            h = ((y if k % 2 == 0 else x) + k + t) % p
+            m = (h * h + 48271 * h) % p
+            place = (x + m) % a + a * y if k % 2 == 0 else x + a * ((y + m) % b)
+        if place < n:
+            return place
+
+
+def test_permutations(spark):
+    for n in (1, 2, 3, 5, 8, 99, 400, 1001):
+        for tweak in (0, 7):
+            got = [r[0] for r in spark.range(n).coalesce(1).select(seeded.permuted("id", n, "s", tweak)).collect()]
+            assert sorted(got) == list(range(n)) and got == [plain_permuted(i, n, "s", tweak) for i in range(n)]
+    large = 3 * 10**15 + 1
+    places = [0, 1, large // 2, large - 1]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in places], "p long").select(seeded.permuted("p", F.lit(large), 4, F.lit(12345678901))).collect()]
+    assert sorted(got) == sorted(plain_permuted(p, large, 4, 12345678901) for p in places) and all(0 <= g < large for g in got)
+
+
+def test_interleave_far_into_an_endless_mix(spark):
+    """Ten thousand passes over seven rows: only the wanted elements are made, and each pass holds every row once."""
+    rows = spark.createDataFrame([(f"r{i}", i * i) for i in range(7)], "id string, v int")
+    out = shards.interleave_batches([rows], [1], 7, 10_000, 3, "id")
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    passes = out.groupBy("pass").agg(F.countDistinct("id").alias("n"), F.count("*").alias("m"))
+    assert passes.filter("n = 7 and m = 7").count() == 10_000
+    assert out.groupBy("id").agg(F.countDistinct("v").alias("n")).filter("n <> 1").count() == 0
+    orders = {tuple(r.o) for r in out.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("slot", "id"))).alias("o")).limit(200).collect()}
+    assert len(orders) > 150
+    with pytest.raises(Exception, match="source 0 is empty"):
+        shards.interleave_batches([rows.filter("false")], [1], 7, 2, 3, "id").collect()
+
+
+def test_interleave_keys_identify_rows(spark):
+    twice = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "id string, v int")
+    with pytest.raises(Exception, match="not the key of one row"):
+        shards.interleave_batches([twice], [1], 3, 2, 3, "id").collect()
+
+
+# ------------------------------------------------------------ global positions
+def test_global_index_without_a_checkpoint(spark):
+    df = spark.range(50).withColumn("t", F.lit("x"))
+    out = positions.global_index(df, ["id"])
+    plan = out._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "Scan parquet" not in plan and "RangePartitioning" not in plan.lower()
+
+
+def test_global_index_with_hot_and_missing_values(spark):
+    """One leading value holds most rows, some are NULL, some terms fall; the payload is joined back by key."""
+    rnd = random.Random(1)
+    data = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"v{rnd.randrange(9)}", None if i % 7 == 0 else rnd.random(), "p" * (i % 5)) for i in range(4000)]
+    df = spark.createDataFrame(data, "id long, v string, x double, payload string")
+    up = lambda value: (value is not None, value or 0)
+    cases = {
+        ("v", "x", "id"): sorted(data, key=lambda r: ((r[1] is not None, r[1] or ""), up(r[2]), r[0])),
+        ("v", "x desc", "id desc"): sorted(data, key=lambda r: ((r[1] is not None, r[1] or ""), (r[2] is None, -(r[2] or 0)), -r[0])),
+    }
+    for order, expected in cases.items():
+        terms = [F.col(c.split()[0]).desc() if " " in c else c for c in order]
+        for key in (None, "id"):
+            for n in (1, 7):
+                got = positions.global_index(df.repartition(n), terms, key=key).orderBy("pos").collect()
+                assert [r.pos for r in got] == list(range(4000)) and [tuple(r)[:4] for r in got] == expected
+    terms = spark.range(60_000).select(F.struct(F.lit("hot").alias("_o0"), F.xxhash64("id").alias("_o1")).alias("_t"))
+    split = terms.withColumn("_s", positions._splitters(terms, [False, False]))
+    sizes = split.select(positions._range_of(F.col("_t"), F.col("_s"), [False, False]).alias("r")).groupBy("r").count()
+    assert sizes.count() > 1000 and sizes.agg(F.max("count")).first()[0] < 200  # a value that all rows share is cut all the same
+
+
+def test_global_index_keys_identify_rows(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "id int, o string, payload string")
+    with pytest.raises(Exception, match="not the key of one row"):
+        positions.global_index(df, ["o"], key="id").collect()
+    ties = spark.createDataFrame([(i, "same") for i in range(20)], "id int, o string")
+    assert sorted(r.pos for r in positions.global_index(ties, ["o"], key="id").collect()) == list(range(20))
+    with pytest.raises(ValueError, match="NULLs come first"):
+        positions.global_index(df, [F.col("o").asc_nulls_last()])
