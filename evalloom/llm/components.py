@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.store import written
+from evalloom.llm.store import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,9 +13,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of a node on its smallest one, then the node and its
     smaller ones on the smallest of those. Every round is two aggregates and two joins and rounds
-    grow with the logarithm of the longest path; nothing of a component meets in one task.
+    grow with the logarithm of the longest path; nothing of a component meets in one task. A round's table is deleted
+    when the next one stands.
+
+    Defined results: an edge of a node with itself, with a null end, or repeated, adds nothing; no edges give no rows.
     """
-    state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())  # greatest and least skip a null end, which leaves u = v
     while True:
         both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -24,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = written(small)
         if new.exceptAll(state).isEmpty() and state.exceptAll(new).isEmpty():
+            removed(new)
             break
+        removed(state)
         state = new
     labels = state.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

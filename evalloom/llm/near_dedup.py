@@ -2,11 +2,11 @@
 
 1. Texts become sets of word shingles; equal sets are one class, so exact copies cost one signature.
 2. Signatures are cut into bands; classes that agree on a band share a bucket.
-3. Buckets name candidates in turns. In each, classes are paired with a centre of their bucket, drawn
-   anew, if it is in another component; that joins large groups in linear work. When few pairs across
-   components are left in the buckets, or a turn links few, what is left of each bucket, after sets that
-   shingles held by their own component alone rule out, is compared block by block inside tasks, which
-   put out links only: no link is lost and no group gives all its pairs.
+3. Buckets name candidates in turns, over ever more bands. In each turn a class proposes itself once: to a member
+   of the largest component of a bucket that it shares with other components. That joins large groups in linear work,
+   and what is left to propose shrinks with it. What is left at the end in buckets of several components, after sets
+   that shingles held by their own component alone rule out, is compared block by block inside tasks, each pair in
+   the first band it shares; tasks put out links only. No link is lost and no group gives all its pairs.
 4. Candidates compare their signatures batch by batch. After each batch the posterior chance that
    the similarity reaches the threshold, given the matches so far and a uniform prior, decides:
    pairs below the chosen miss probability are dropped.
@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.arrays import SPACED, Words, mix, text_chunks
 from evalloom.llm.components import components
-from evalloom.llm.store import free_name, written
+from evalloom.llm.store import Scratch, free_name, written
 
 BANDS, ROWS = 32, 5  # misses a pair at similarity 0.8 with chance (1 - 0.8 ** 5) ** 32 = 3e-6
 BATCH = 32  # hashes compared between two decisions
 MISS = 1e-7
 BROADCAST_NODES = 200_000
 BLOCK = 128  # nodes of a bucket that a task compares with as many others
-#: All pairs across components are compared once there are so few per member of a bucket, or a turn has linked so few per member.
-PAIRS_PER_MEMBER, NEW_LINKS = 2, 0.01
+#: Bands of the first turns; then all.
+TURNS = (range(0, 2), range(2, 8))
 
 _random = np.random.default_rng(20)
 _XOR = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -94,15 +94,20 @@ def _signed(k: int):
     return signed
 
 
-def _banded(batches):
-    """(key, node): one row per band; the key holds the band and its values."""
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-        keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.ones((len(nodes), 1), np.uint64)
-        for j in range(ROWS):
-            keys = mix(keys) + values[:, :, j]
-        yield pa.RecordBatch.from_arrays([pa.array(mix(keys).astype(np.int64).reshape(-1)), pa.array(np.repeat(nodes, BANDS))], names=["key", "node"])
+def _banded(bands: range):
+    def banded(batches):
+        """(key, node, part): a row per band; the key holds its values, its last bits the band."""
+        of = np.arange(bands.start, bands.stop, dtype=np.uint64)
+        for batch in batches:
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)[:, bands.start : bands.stop]
+            keys = (of + np.uint64(1)) * np.ones((len(values), 1), np.uint64)
+            for j in range(ROWS):
+                keys = mix(keys) + values[:, :, j]
+            keys = mix(keys) & ~np.uint64(BANDS - 1) | of
+            again = pa.array(np.repeat(np.arange(len(values)), len(bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).reshape(-1)), batch.column(0).take(again), batch.column(1).take(again)], names=["key", "node", "part"])
+
+    return banded
 
 
 def fewest_matches(threshold: float, miss: float) -> list[int]:
@@ -166,8 +171,7 @@ def _confirmed(percent: int):
 
 
 def _narrowed(values: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``values`` of the ``nodes``: before any shuffle if the nodes are few (8 bytes each), else by a join."""
-    nodes = written(nodes)
+    """``values`` of the written ``nodes``: before any shuffle if the nodes are few (8 bytes each), else by a join."""
     few = nodes.count() <= BROADCAST_NODES
     return values.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
@@ -183,11 +187,19 @@ def _pairs(left: str, right: str) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _around_centres(parts: DataFrame, turn: int) -> DataFrame:
-    """Each node of a bucket with the bucket's centre, if that is in another component; every turn draws other centres."""
-    draw = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-    centres = parts.groupBy("key").agg(F.min(F.struct(draw.alias("h"), "node", "part")).alias("c")).select("key", F.col("c.node").alias("c"), F.col("c.part").alias("other"))
-    return parts.join(centres, "key").where("part <> other").select(*_pairs("node", "c")).distinct()
+def _open(banded: DataFrame) -> DataFrame:
+    """Buckets with members of several components: key, the largest component in it and one of its members, rows, pairs across.
+
+    Buckets of other bands with the same members are left out: their pairs meet in the smallest such band.
+    """
+    draw = F.xxhash64("node")
+    parts = banded.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("node", draw).alias("c"), F.sum(F.pmod(draw, F.lit(1 << 40))).alias("print"))
+    size = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("part"), F.lit(1 << 20))
+    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("c", size).alias("c"), F.max_by("part", size).alias("other"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.sum("print").alias("print"))
+    split = whole.where("parts > 1")
+    band = F.pmod("key", F.lit(BANDS))
+    first = split.groupBy("print", "n").agg(F.min_by("key", band).alias("key")).select("key")
+    return split.join(first, "key", "left_semi").select("key", "c", "other", "n", "own")
 
 
 def _elsewhere(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,7 +233,8 @@ def _across(parts: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -
 
 def _judged(least: list[int], percent: int):
     def judged(group: pa.Table) -> pa.Table:
-        """Links between the nodes of two blocks that are in different components: by size, by signatures batch by batch, then on the sets."""
+        """Links between the nodes of two blocks that are in different components and in no earlier band together: by size, by signatures batch by batch, then on the sets."""
+        band = group.column("key")[0].as_py() % BANDS
         node, part, block, n = (group.column(c).to_numpy() for c in ("node", "part", "block", "n"))
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
@@ -236,6 +249,9 @@ def _judged(least: list[int], percent: int):
                 columns = slice(k * BATCH, (k + 1) * BATCH)
                 matches[live] += (signature[live, columns] == signature[i, columns]).sum(axis=1)
                 live = live[matches[live] >= m]
+            if len(live):
+                earlier = (signature[live, : band * ROWS] == signature[i, : band * ROWS]).reshape(len(live), band, ROWS).all(axis=2).any(axis=1)
+                live = live[~earlier]
             for j in live:
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * shared >= percent * (n[i] + n[j] - shared):
@@ -246,16 +262,6 @@ def _judged(least: list[int], percent: int):
     return judged
 
 
-def _split_buckets(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """(key, node, part) of buckets with nodes of several components, its rows, and the pairs across components in it."""
-    parts = members.withColumn("part", F.col("node")) if labels is None else members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    sizes = parts.groupBy("key", "part").agg(F.count("*").cast("double").alias("n"))
-    split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("parts > 1")
-    parts = written(parts.join(split, "key").select("key", "node", "part", "n", "own"))
-    rows, pairs = parts.agg(F.count("*"), F.sum((F.col("n") - F.col("own") / F.col("n")) / 2)).first()
-    return parts.select("key", "node", "part"), rows, int(pairs or 0)
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -276,54 +282,79 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = named.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    banded = classes.select("node", "signature").mapInArrow(_banded, "key long, node long")
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members = written(banded.join(shared, "key"))
     least = fewest_matches(percent / 100, miss)
 
     sizes = classes.select("node", "n")
     both = F.explode(F.array("a", "b")).alias("node")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = written(_narrowed(classes.select("node", "id", "print"), nodes))
+    signed = classes.select("node", "signature")
+    results = Scratch()
+
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return signed.select("node", F.col("node").alias("part"), "signature")
+        held = F.broadcast(labels) if labels.count() <= BROADCAST_NODES else labels  # 16 bytes a node
+        return signed.join(held, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "signature")
+
+    def members(bands: range, labels: DataFrame | None, here: Scratch) -> DataFrame:
+        """(key, node, part, c, other) of the buckets of ``bands`` that hold several components."""
+        banded = labelled(labels).mapInArrow(_banded(bands), "key long, node long, part long")
+        found = here.written(_open(banded))
+        return banded.join(F.broadcast(found) if found.count() <= BROADCAST_NODES else found, "key")
+
+    def proposed(bands: range, labels: DataFrame | None, here: Scratch) -> DataFrame:
+        """(a, b): each class outside its bucket's largest component with a member of that, one bucket a class."""
+        banded = labelled(labels).mapInArrow(_banded(bands), "key long, node long, part long")
+        found = here.written(_open(banded)).select(F.col("key").alias("k"), "c", "other")
+        found = F.broadcast(found) if found.count() <= BROADCAST_NODES else found
+        outside = banded.join(found, (F.col("key") == F.col("k")) & (F.col("part") != F.col("other")))
+        return outside.groupBy("node").agg(F.min_by("c", "key").alias("c")).select(*_pairs("node", "c")).distinct()
+
+    def sets_of(nodes: DataFrame, here: Scratch) -> DataFrame:
+        wanted = here.written(_narrowed(classes.select("node", "id", "print"), here.written(nodes)))
         if wanted.count() <= BROADCAST_NODES:
             wanted = F.broadcast(wanted)  # 32 bytes and an id each: the texts then need no shuffle
-        return written(source.join(wanted, "id").select("node", "print", "text").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]))
-
-    signed = classes.select("node", "signature")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        fits = written(_paired(pairs, sizes, "n").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b"))
-        signatures = _narrowed(signed, fits.select(both).distinct())
-        likely = written(_paired(fits, signatures, "signature").mapInArrow(_likely(least), "a long, b long, matches int"))
-        sets = sets_of(likely.select(both).distinct())
-        return written(_paired(likely.select("a", "b"), sets, "set").mapInArrow(_confirmed(percent), "a long, b long"))
-
-    edges, labels, turn, found = None, None, 0, 1
-    while True:
-        parts, size, pairs = _split_buckets(members, labels)
-        if not pairs:
-            break
-        last = turn and (pairs <= PAIRS_PER_MEMBER * size or found < NEW_LINKS * size)
-        if last:
-            nodes = parts.select("node").distinct()
-            sets = sets_of(nodes)
-            blocks = _across(parts, _elsewhere(sets, labels), sizes, percent)
-            whole = blocks.join(_narrowed(signed, nodes), "node").join(sets, "node")
-            new = written(whole.groupBy("key", "low", "high").applyInArrow(_judged(least, percent), "a long, b long").distinct())
-        else:
-            new = links(_around_centres(parts, turn))
-        found, turn = new.count(), turn + 1
+        return here.written(source.join(wanted, "id").select("node", "print", "text").mapInArrow(_sets(words), "node long, set binary").dropDuplicates(["node"]))
+
+    def links(pairs: DataFrame, here: Scratch) -> DataFrame:
+        fits = here.written(_paired(pairs, sizes, "n").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b"))
+        signatures = _narrowed(signed, here.written(fits.select(both).distinct()))
+        likely = here.written(_paired(fits, signatures, "signature").mapInArrow(_likely(least), "a long, b long, matches int"))
+        sets = sets_of(likely.select(both).distinct(), here)
+        return results.written(_paired(likely.select("a", "b"), sets, "set").mapInArrow(_confirmed(percent), "a long, b long"))
+
+    def across(parts: DataFrame, labels: DataFrame | None, here: Scratch) -> DataFrame:
+        """Links in what is left: rows of buckets that still hold several components."""
+        nodes = here.written(parts.select("node").distinct())
+        sets = sets_of(nodes, here)
+        known = labels if labels is not None else nodes.select("node", F.col("node").alias("component"))
+        blocks = _across(parts, _elsewhere(sets, known), sizes, percent)
+        whole = blocks.join(_narrowed(signed, nodes), "node").join(sets, "node")
+        return results.written(whole.groupBy("key", "low", "high").applyInArrow(_judged(least, percent), "a long, b long").distinct())
+
+    edges, labels = None, None
+
+    def add(new: DataFrame) -> None:
+        nonlocal edges, labels
         edges = new if edges is None else edges.unionByName(new)
-        if found or labels is None:
-            labels = written(components(edges))
-        if last:
-            break
+        if not new.isEmpty():
+            labels = results.written(components(edges))
+
+    for bands in (*TURNS, range(BANDS)):
+        here = Scratch()
+        add(links(proposed(bands, labels, here), here))
+        here.clear()
+    here = Scratch()
+    parts = here.written(members(range(BANDS), labels, here).select("key", "node", "part"))
+    if not parts.isEmpty():
+        add(across(parts, labels, here))
+    here.clear()
 
     labels = labels if labels is not None else classes.select("node", F.col("node").alias("component"))
     placed = classes.join(labels, "node", "left").select("print", "id", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    placed = placed.join(names, "component").select("print", "component_id")
+    placed = written(placed.join(names, "component").select("print", "component_id"))
+    results.clear()
     linked = named.drop("signature").join(placed, "print").select("id", "n", "component_id")
     alone = rows.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

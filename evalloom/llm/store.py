@@ -27,6 +27,21 @@ def removed(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Written tables of one step, deleted together once nothing reads them any more."""
+
+    def __init__(self):
+        self.tables = []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        while self.tables:
+            removed(self.tables.pop())
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, or the first of its underscored forms that no column of ``df`` has (names compare without case)."""
     taken = {c.lower() for c in df.columns}
