@@ -10,26 +10,44 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evalloom.operators.shards import dedupe_last
+from evalloom.sinks.writers import write_jsonl
+
+BAD, FILE = "_corrupt_line", "_file"
 
 
 def grade_stream(
     spark: SparkSession, in_dir: str, out_dir: str, schema: T.StructType | str, grader: Callable[[DataFrame], DataFrame],
-    checkpoint: str, max_files: int = 1000,
+    checkpoint: str, max_files: int = 1000, rejected_dir: str | None = None,
 ) -> StreamingQuery:
-    """Grade new result files with a stateless grader and append graded JSON lines.
+    """Grade new result files with a stateless grader; what is no record goes to a second sink, with its file and text.
 
-    Stops when everything present has been graded; the checkpoint makes the
-    next start continue with unseen files only.
+    Graded rows are JSON lines in ``out_dir/batch=<n>`` (``graded`` reads them), lines that don't parse or whose values
+    don't fit the schema are JSON lines in ``rejected_dir/batch=<n>``, by default next to ``out_dir``. Each micro-batch
+    overwrites its own two folders only, so a batch that is run again after a failure neither loses nor doubles rows.
+    Stops when everything present has been graded; the checkpoint makes the next start continue with unseen
+    files only.
     """
-    results = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(in_dir)
-    return (
-        grader(results)
-        .writeStream.format("json")
-        .option("checkpointLocation", checkpoint)
-        .option("ignoreNullFields", "false")
-        .trigger(availableNow=True)
-        .start(out_dir)
-    )
+    rejected = rejected_dir or f"{out_dir.rstrip('/')}-rejected"
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    read = T.StructType([*fields, T.StructField(BAD, T.StringType())])
+    lines = spark.readStream.schema(read).option("columnNameOfCorruptRecord", BAD).option("maxFilesPerTrigger", max_files).json(in_dir)
+    lines = lines.select("*", F.col("_metadata.file_path").alias(FILE))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # both sinks see one reading of the files
+        try:
+            records = batch.filter(F.col(BAD).isNull()).drop(BAD, FILE)
+            write_jsonl(grader(records), f"{out_dir}/batch={batch_id}", "overwrite")
+            write_jsonl(batch.filter(F.col(BAD).isNotNull()).select(F.col(FILE).alias("file"), F.col(BAD).alias("text")), f"{rejected}/batch={batch_id}", "overwrite")
+        finally:
+            batch.unpersist()
+
+    return lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def graded(spark: SparkSession, out_dir: str, schema: T.StructType | str) -> DataFrame:
+    """Rows of all batches of a sink of ``grade_stream``; a batch without rows has none."""
+    return spark.read.schema(schema).option("basePath", out_dir).option("mode", "FAILFAST").json(out_dir).drop("batch")
 
 
 def upsert_stream(df: DataFrame, target: str, key: str, order: Sequence[str], checkpoint: str) -> StreamingQuery:

@@ -191,6 +191,35 @@ def test_streams(spark, tmp_path):
     assert {(r.sample_id, r.grading_answer_key, r.grading_format_error) for r in rows} == {("a", "B", None), ("b", None, "Invalid option: Z")}
 
 
+def test_streams_keep_malformed_lines_apart(spark, tmp_path):
+    """No malformed line is graded; a batch that fails half-way and runs again neither loses nor doubles."""
+    inbox, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    inbox.mkdir()
+    (inbox / "1.json").write_text('{"sample_id": "a", "n": 1}\n{"sample_id": "b"\n\n{"sample_id": "c", "n": "many"}\n')
+    schema, fail = "sample_id string, n int", [True]
+
+    def grader(df):
+        return df.withColumn("grade", F.lit("ok"))
+
+    def failing(df):
+        if fail:
+            fail.clear()
+            grader(df).write.mode("overwrite").json(f"{out}/batch=0")  # written, then lost before the batch is done
+            raise RuntimeError("lost")
+        return grader(df)
+
+    with pytest.raises(Exception, match="lost"):
+        results.grade_stream(spark, str(inbox), out, schema, failing, state).awaitTermination()
+    for _ in range(2):
+        results.grade_stream(spark, str(inbox), out, schema, failing, state).awaitTermination()
+        assert [(r.sample_id, r.n, r.grade) for r in results.graded(spark, out, schema + ", grade string").collect()] == [("a", 1, "ok")]
+        bad = results.graded(spark, out + "-rejected", "file string, text string").collect()
+        assert sorted(r.text for r in bad) == ['{"sample_id": "b"', '{"sample_id": "c", "n": "many"}'] and all(r.file.endswith("1.json") for r in bad)
+    (inbox / "2.json").write_text('{"sample_id": "d", "n": 4}\n')
+    results.grade_stream(spark, str(inbox), out, schema, grader, state).awaitTermination()
+    assert sorted(r.sample_id for r in results.graded(spark, out, schema).collect()) == ["a", "d"]
+
+
 def test_upsert_and_compact(spark, tmp_path):
     inbox, target = tmp_path / "in", str(tmp_path / "target")
     inbox.mkdir()
