@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +32,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return _strict(spark, schema).json(path)
 
 
-def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Lines with their number in the file. Each file is one record: for files of moderate size only."""
-    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value"))
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line, value): every line with its 0-based number in its file, whose splits are read by tasks of their own.
+
+    A task meets the lines of a split in order, so a line's place in its split is its running number less the least
+    one there. Splits are counted, which is a row per split, and a line's number is what the splits before it in the
+    file hold plus its place. No file is one record, and the lines themselves are not shuffled unless there are
+    too many splits to broadcast.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths)
+    lines = read.select(
+        F.regexp_replace("value", r"\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+    ).withColumn("_task", F.shiftright("_at", 33))
+    splits = lines.groupBy("file", "_split", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    unknown = F.raise_error(F.concat(F.lit("the splits of a file changed while it was read: "), F.col("file"))).cast("long")
+    number = F.coalesce(F.col("_before") + F.col("_at") - F.col("_first"), unknown)
+    return lines.join(splits, ["file", "_split", "_task"], "left").select("file", number.alias("line"), "value")
 
 
 def read_lines(spark: SparkSession, path: str, drop_blank: bool = True) -> DataFrame:
     """Text lines with their line number (for word and prompt lists)."""
-    lines = _numbered_lines(spark, path).select("line", "value")
+    lines = numbered_lines(spark, path).select("line", "value")
     return lines.filter(strip("value") != "") if drop_blank else lines
 
 
@@ -151,15 +166,11 @@ def shard_number(path_col: Column) -> Column:
 
 
 def read_shards(spark: SparkSession, root: str, run: str, file: str, schema: T.StructType | str) -> DataFrame:
-    """``shard_*/run/file`` with an ingest order: shard number, then path, then line.
-
-    The line number needs each shard file as one record; writers of very large
-    shards should store a sequence column instead.
-    """
+    """``shard_*/run/file`` with an ingest order: shard number, then path, then line. Files of any size, read in splits."""
     pattern = f"{root}/shard_*/{run}/{file}"
     if not exists(spark, pattern):
-        return spark.createDataFrame([], schema).withColumns({"shard": F.lit(0), "file": F.lit(""), "line": F.lit(0)})
-    lines = _numbered_lines(spark, pattern).filter(strip("value") != "")
+        return spark.createDataFrame([], schema).withColumns({"shard": F.lit(0), "file": F.lit(""), "line": F.lit(0).cast("long")})
+    lines = numbered_lines(spark, pattern).filter(strip("value") != "")
     record = F.from_json("value", schema, {"mode": "FAILFAST"})
     return lines.select(record.alias("_r"), shard_number(F.col("file")).alias("shard"), "file", "line").select("_r.*", "shard", "file", "line")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import grading, images
+from evalloom.operators import grading, images, shards
 from evalloom.plans import joining
 from evalloom.plans.common import derive
 from evalloom.sinks import writers
@@ -90,6 +90,41 @@ def test_shards(spark, tmp_path):
     assert readers.read_shards(spark, str(tmp_path), "other", "f.jsonl", "sample_id string, v int").collect() == []
 
 
+def test_numbered_lines_of_files_in_many_splits(spark, tmp_path):
+    """Files of several splits, with blank lines, CR LF, no last line break and lines longer than a split."""
+    texts = {"a.txt": "".join(f"a{i}" + " x" * (i % 50) + "\n" for i in range(3000)), "b.txt": "\n\nb\r\n" * 700, "c.txt": "one\n" + "y" * 9000 + "\nlast", "d.txt": "", "e.txt": "\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+    expected = sorted((n, k, v.removesuffix("\r")) for n, t in texts.items() for k, v in enumerate(t.removesuffix("\n").split("\n") if t else []))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("1500", "64k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        try:
+            df = readers.numbered_lines(spark, str(tmp_path))
+            got = sorted((r.file.rsplit("/", 1)[1], r.line, r.value) for r in df.collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+        assert got == expected
+        assert size != "1500" or df.rdd.getNumPartitions() > 1
+
+
+def test_merge_of_shards_read_in_splits(spark, tmp_path):
+    """The last line of the last shard wins, through files of several splits."""
+    for shard in range(3):
+        (tmp_path / f"shard_{shard}" / "run").mkdir(parents=True)
+        (tmp_path / f"shard_{shard}" / "run" / "f.jsonl").write_text("".join(json.dumps({"sample_id": f"s{i % 40}", "v": shard * 1000 + i, "split": "t", "dataset_index": i % 40}) + "\n" for i in range(200)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = readers.read_shards(spark, str(tmp_path), "run", "f.jsonl", "sample_id string, v int, split string, dataset_index int")
+        got = shards.merge_shards(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.dataset_index, r.v) for r in got] == [(i, 2160 + i) for i in range(40)]
+
+
 def test_run_outputs(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     text, image = derive(spark, sf, joining.TEXT_ROWS), derive(spark, sf, joining.IMAGE_ROWS)
