@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from evalloom import constants as C
 from evalloom.context import one_row
 from evalloom.functions import text as X
-from evalloom.functions.seeded import seeded_int, shuffle_array
+from evalloom.functions.binding import bind
+from evalloom.functions.seeded import permuted, seeded_int, whole
 from evalloom.operators.positions import global_index, index_by_key, sample_exact, sample_two_way
 from evalloom.operators.tabular import select_contract, unpivot_columns
 
 
-LISTED = 7  # attributes up to which all orders of a row are shuffled; of more, orders are drawn by number
+NUMBERED = 20  # words whose orders have a number: 20! is the last factorial of 64 bits
 
 
 # ------------------------------------------------------------------- grids
@@ -34,18 +35,20 @@ def grid_of_values(spark: SparkSession, dims: Mapping[str, Sequence], max_rows:
 def attribute_grid(df: DataFrame, attrs: Sequence[str], max_rows: int | None = None) -> DataFrame:
     """All combinations of the values that occur in ``attrs``; more than ``max_rows``, if given, are an error.
 
-    One aggregate gathers the distinct values (vocabularies, so short lists), which are then exploded one after another.
+    Values are numbered within their attribute, and row r of the grid takes the digits of r in the mixed radix of the
+    attributes' sizes: the grid is a range, dealt evenly over tasks, that looks up one value per attribute. Values stay
+    rows, so a vocabulary may be long; Spark broadcasts it below its byte threshold. NULL is no value.
     """
-    if max_rows is not None:
-        sizes = df.agg(*[F.count_distinct(a).alias(a) for a in attrs]).first()
-        if math.prod(sizes) > max_rows:
-            raise ValueError(f"grid too large: {sizes.asDict()}")
-    grid = df.agg(*[F.array_sort(F.collect_set(a)).alias(a) for a in attrs])
-    # spread the first attribute's values before multiplying
-    for i, a in enumerate(attrs):
-        grid = grid.select(*[c for c in grid.columns if c != a], F.explode(a).alias(a))
-        if i == 0 and len(attrs) > 1:
-            grid = grid.repartition(a)
+    values = [df.select(F.col(a).alias("_v")).filter(F.col("_v").isNotNull()).distinct() for a in attrs]
+    sizes = [v.count() for v in values]
+    if max_rows is not None and math.prod(sizes) > max_rows:
+        raise ValueError(f"grid too large: {dict(zip(attrs, sizes))}")
+    grid, below = df.sparkSession.range(math.prod(sizes)).withColumnRenamed("id", "_row"), math.prod(sizes)
+    for a, v, n in zip(attrs, values, sizes, strict=True):
+        below = below // n if n else 1
+        digit = F.pmod(whole(F.col("_row"), F.lit(below)), F.lit(max(1, n)))
+        numbered = global_index(v, ["_v"], "_digit").withColumnRenamed("_v", a)
+        grid = grid.withColumn("_digit", digit).join(numbered, "_digit").drop("_digit")
     return grid.select(*attrs)
 
 
@@ -121,7 +124,7 @@ def permuted_prompts(
     df: DataFrame, attrs: Sequence[str], k: int, style: str, fixed: bool, seed: int, key: str,
     prefix: str = "synthetic_", keep: Sequence[str] = ("image",),
 ) -> DataFrame:
-    """``k`` attribute orders per row as words, ``type=value`` lists or one sentence."""
+    """``k`` attribute orders per row as words, ``type=value`` lists or one sentence. Orders of a row never repeat; ``key`` identifies it."""
     if style not in ("words_only", "with_concept_type", "full_sentence"):
         raise ValueError(f"unknown style {style!r}")
     if k > 1 and (style == "full_sentence" or fixed):
@@ -130,36 +133,32 @@ def permuted_prompts(
         return df.select(X.render_prompt(C.SENTENCE_PROMPT, **{a: prefix + a for a in attrs}).alias("prompt"), *keep)
     shown = [F.concat(F.lit(f"{a}="), F.col(prefix + a)) if style == "with_concept_type" else F.col(prefix + a) for a in attrs]
     joint = ", " if style == "with_concept_type" else " "
-    n = math.factorial(len(attrs))
     if fixed:
-        picked = F.array(F.lit(0).cast("long"))
-    elif len(attrs) <= LISTED:
-        picked = F.slice(shuffle_array(F.sequence(F.lit(0), F.lit(n - 1)), seed, key), 1, k)
-    else:
-        picked = _distinct_orders(n, k, seed, key)
-    rows = df.select(*keep, F.array(*shown).alias("_words"), F.explode(picked).alias("_order"))
-    return rows.select(F.array_join(_arranged(F.col("_words"), F.col("_order"), len(attrs)), joint).alias("prompt"), *keep)
+        return df.select(F.array_join(F.array(*shown), joint).alias("prompt"), *keep)
+    n = len(attrs)
+    if k > math.factorial(n):
+        raise ValueError(f"{k} orders asked, there are {math.factorial(n)}")
+    # order j of a row is number perm(j), in a permutation of all order numbers that is the row's own
+    number = permuted("_j", math.factorial(min(n, NUMBERED)), seed, F.col("_tweak"))
+    rows = df.select(*keep, F.array(*shown).alias("_words"), F.col(key).alias("_key"), seeded_int(seed, key).alias("_tweak"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
+    words = _arranged(F.slice("_words", 1, min(n, NUMBERED)), number, min(n, NUMBERED))
+    for i in range(NUMBERED, n):  # further words go anywhere between: the numbered ones already differ
+        words = F.array_insert(words, (F.pmod(seeded_int(seed, "_key", "_j", F.lit(i)), F.lit(i + 1)) + 1).cast("int"), F.get("_words", F.lit(i)))
+    return rows.select(F.array_join(words, joint).alias("prompt"), *keep)
 
 
-def _distinct_orders(n: int, k: int, seed: int, key: str) -> Column:
-    """``k`` different numbers below ``n`` per row: one from each of ``k`` even ranges."""
-    if k > n:
-        raise ValueError(f"{k} orders asked, there are {n}")
-    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: _range_start(n, k, j) + F.pmod(seeded_int(seed, key, j), _range_start(n, k, j + 1) - _range_start(n, k, j)))
-
-
-def _range_start(n: int, k: int, j: Column) -> Column:
-    return j.cast("long") * (n // k) + F.least(j, F.lit(n % k))
+def _arranged(words: Column, order: Column, n: int) -> Column:
+    """The ``n`` words in lexicographic order number ``order``: each step takes the word that the next factorial digit names."""
+    sizes = F.array(*[F.lit(math.factorial(i)).cast("long") for i in range(n)])
 
+    def step(s: Column, i: Column) -> Column:
+        return bind(F.get(sizes, i), lambda size: bind(whole(s.code, size).cast("int"), lambda digit: F.struct(
+            F.concat(F.slice(s.left, F.lit(1), digit), F.slice(s.left, digit + 2, F.lit(n))).alias("left"),
+            F.array_append(s.out, F.get(s.left, digit)).alias("out"), F.pmod(s.code, size).alias("code"),
+        )))
 
-def _arranged(words: Column, order: Column, n: int) -> Column:
-    """The words in lexicographic order number ``order``: each step takes the word that the next factorial digit names."""
-    left, out = words, F.array().cast("array<string>")
-    for i in range(n - 1, -1, -1):
-        digit = (F.floor(order / F.lit(math.factorial(i))) % (i + 1)).cast("int")
-        out = F.array_append(out, F.get(left, digit))
-        left = F.concat(F.slice(left, F.lit(1), digit), F.slice(left, digit + 2, F.lit(n)))
-    return out
+    start = F.struct(words.alias("left"), F.array().cast("array<string>").alias("out"), order.alias("code"))
+    return F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), start, step)["out"]
 
 
 def _draw(df: DataFrame, n: int, seed: int | str, key: str) -> DataFrame | None:

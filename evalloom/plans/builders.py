@@ -231,7 +231,8 @@ def _permuted(k: int, typed: bool, seed: int) -> str:
     orders = "[" + ", ".join("[" + ", ".join(map(str, o)) + "]" for o in itertools.permutations(range(4))) + "]"
     words = ", ".join((f"'{a}=' || " if typed else "") + f"synthetic_{a}" for a in ATTRS)
     sep = ", " if typed else " "
-    return f"""with r as (select *, [{words}] as ws, unnest(({shuffled('range(24)', seed, 'p_partkey')})[1:{k}]) as o from ({duck(ATTR_ROWS)}))
+    number = permuted("j", "24", seed, u32(seed, "p_partkey"))
+    return f"""with r as (select image, ws, {number} as o from (select *, [{words}] as ws, unnest(range({k})) as j from ({duck(ATTR_ROWS)})))
         select array_to_string(list_transform(({orders})[o + 1], lambda i: ws[i + 1]), '{sep}') as prompt, image from r"""
 
 

@@ -135,6 +135,29 @@ def test_no_caps(spark):
         prompts.attribute_grid(wide.select("id"), ["id"], max_rows=19)
 
 
+def test_orders_of_many_attributes(spark):
+    """One rule for every number of attributes: all orders of a few, distinct ones of many, and every order is reachable."""
+    for n, k in ((1, 1), (3, 6), (5, 120), (8, 50), (20, 40), (25, 40)):
+        attrs = [f"w{i:02d}" for i in range(n)]
+        df = spark.range(6).select("id", *[F.lit(a).alias(f"synthetic_{a}") for a in attrs])
+        rows = prompts.permuted_prompts(df, attrs, k, "words_only", False, 3, "id", keep=("id",)).collect()
+        assert len({(r.id, r.prompt) for r in rows}) == len(rows) == 6 * k
+        assert all(sorted(r.prompt.split()) == attrs for r in rows)
+        if n > 3:
+            assert len({r.prompt.split()[0] for r in rows}) > 3 and len({r.prompt.split()[-1] for r in rows}) > 3
+    with pytest.raises(ValueError, match="7 orders asked, there are 6"):
+        prompts.permuted_prompts(spark.range(1), ["a", "b", "c"], 7, "words_only", False, 1, "id")
+
+
+def test_grid_of_long_vocabularies(spark):
+    """Values are rows, not lists; NULL is no value, and an attribute without values leaves no combination."""
+    df = spark.range(3000).select(F.concat(F.lit("v"), "id").alias("a"), F.when(F.col("id") < 5, F.col("id")).alias("b"), F.lit(None).cast("string").alias("none"))
+    out = prompts.attribute_grid(df, ["a", "b"])
+    assert out.count() == out.distinct().count() == 15_000 and out.filter("b is null").count() == 0
+    assert "collect_" not in out._jdf.queryExecution().executedPlan().toString().replace("collect_list(_t", "")
+    assert prompts.attribute_grid(df, ["a", "none"]).count() == 0
+
+
 def test_specs_reject_unknown_keys(spark):
     df = spark.createDataFrame([('{"prompt":"p","tag":"t","other":1}',)], "value string")
     with pytest.raises(Exception, match="unknown key"):
