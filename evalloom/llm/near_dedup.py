@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.arrays import SPACED, Words, mix, text_chunks
-from evalloom.llm.components import components
+from evalloom.llm.components import merged
 from evalloom.llm.store import Scratch, free_name, written
 
 BANDS, ROWS = 32, 5  # misses a pair at similarity 0.8 with chance (1 - 0.8 ** 5) ** 32 = 3e-6
@@ -31,7 +31,7 @@ BATCH = 32  # hashes compared between two decisions
 MISS = 1e-7
 BROADCAST_NODES = 200_000
 BLOCK = 128  # nodes of a bucket that a task compares with as many others
-#: Bands of the first turns; then all.
+#: Bands of the turns; what is left in the buckets of all bands is compared after them.
 TURNS = (range(0, 2), range(2, 8))
 
 _random = np.random.default_rng(20)
@@ -332,15 +332,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         whole = blocks.join(_narrowed(signed, nodes), "node").join(sets, "node")
         return results.written(whole.groupBy("key", "low", "high").applyInArrow(_judged(least, percent), "a long, b long").distinct())
 
-    edges, labels = None, None
+    labels = None
 
     def add(new: DataFrame) -> None:
-        nonlocal edges, labels
-        edges = new if edges is None else edges.unionByName(new)
+        nonlocal labels
         if not new.isEmpty():
-            labels = results.written(components(edges))
+            labels = merged(labels, new)
+            results.tables.append(labels)
 
-    for bands in (*TURNS, range(BANDS)):
+    for bands in TURNS:
         here = Scratch()
         add(links(proposed(bands, labels, here), here))
         here.clear()

@@ -66,8 +66,9 @@ def op6_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "stats").drop("text")
-    judged = quality.cascade(docs, quality.measured_rules("stats"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = [name for name, _, _ in quality.cascade_order(docs, quality.standard_rules("text"))]  # the sample is taken before anything is measured
+    judged = quality.cascade(quality.measured(docs, "text", "stats"), quality.measured_rules("stats"), order=order)
     s = F.col("stats")
     return judged.select(
         "doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words",
