@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -16,6 +18,7 @@ from evalloom import constants as C
 from evalloom.functions import text as X
 from evalloom.functions.binding import bind
 from evalloom.functions.seeded import column
+from evalloom.sources.readers import exists
 
 FROM_LETTER = "Recovered single option letter from non-single-letter answer"
 FROM_TEXT = "Recovered single option text from non-single-letter answer"
@@ -200,32 +203,77 @@ def match_attributes(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------ plug-in judges
 def with_judge(
-    df: DataFrame, fn: Callable[[dict], dict], fields: str, max_in_flight: int = 64, error: str = "grading_error"
+    df: DataFrame, fn: Callable[[dict], dict], fields: str, max_in_flight: int = 64, error: str = "grading_error",
+    retries: int = 0, pause: float = 0.0, waiting: int = 4096,
 ) -> DataFrame:
     """Call ``fn`` on every row with at most ``max_in_flight`` open calls per task.
 
-    ``fn`` gets the row as a dict and returns the values of ``fields``
-    (DDL text). An
-    exception becomes the row's error text and never fails the job.
+    ``fn`` gets the row as a dict and returns the values of ``fields`` (DDL text). An exception is tried again up to
+    ``retries`` times, after ``pause`` seconds that double each time; the last one becomes the row's error text
+    and never fails the job. Calls run ahead of the rows put out by up to ``waiting`` rows, across batches, so
+    that a slow call holds up no other; rows keep their order.
     """
     added = T.StructType.fromDDL(fields)
     names = added.fieldNames()
     schema = T.StructType([*df.schema.fields, *added.fields, T.StructField(error, T.StringType())])
 
     def call(row: dict) -> dict:
-        try:
-            answer = fn(row)
-            return {**{n: answer.get(n) for n in names}, error: None}
-        except Exception as ex:  # the text of any failure belongs to its row
-            return {**{n: None for n in names}, error: f"Failed to query judge: {ex}"}
+        for attempt in range(retries + 1):
+            try:
+                answer = fn(row)
+                return {**{n: answer.get(n) for n in names}, error: None}
+            except Exception as ex:  # the text of any failure belongs to its row
+                failed = ex
+                if attempt < retries:
+                    time.sleep(pause * 2**attempt)
+        return {**{n: None for n in names}, error: f"Failed to query judge: {failed}"}
 
     kinds = {f.name: f.type for f in to_arrow_schema(T.StructType([*added.fields, T.StructField(error, T.StringType())]))}
 
+    def finished(piece: pa.RecordBatch, calls: list) -> pa.RecordBatch:
+        answers = [c.result() for c in calls]
+        new = [pa.array([a[n] for a in answers], kinds[n]) for n in [*names, error]]
+        return pa.RecordBatch.from_arrays([*piece.columns, *new], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, ahead = deque(), 0
         with ThreadPoolExecutor(max_workers=max_in_flight) as pool:
             for batch in batches:
-                answers = list(pool.map(call, batch.to_pylist()))  # whole numbers and NULLs stay what they are
-                new = [pa.array([a[n] for a in answers], kinds[n]) for n in [*names, error]]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+                for start in range(0, batch.num_rows, max_in_flight):
+                    piece = batch.slice(start, max_in_flight)
+                    window.append((piece, [pool.submit(call, row) for row in piece.to_pylist()]))  # whole numbers and NULLs stay what they are
+                    ahead += piece.num_rows
+                    while window and (ahead > waiting or all(c.done() for c in window[0][1])):
+                        ahead -= window[0][0].num_rows
+                        yield finished(*window.popleft())
+            while window:
+                yield finished(*window.popleft())
 
     return df.mapInArrow(run, schema)
+
+
+def judge_with_ledger(
+    df: DataFrame, key: str, fn: Callable[[dict], dict], fields: str, ledger: str, parts: int = 16, error: str = "grading_error", **options
+) -> DataFrame:
+    """``df`` with the judge's answers, called once per key however often this is started again.
+
+    Rows are judged in ``parts`` jobs by a hash of the key; each appends its answers to the folder ``ledger`` when it is
+    done. A start after a failure calls only keys that have no answer there, and those whose last call failed. A lost
+    task repeats its own share of one part at most. ``key`` must identify a row. ``options`` go to ``with_judge``.
+    """
+    added = T.StructType.fromDDL(fields)
+    kept = T.StructType([df.schema[key], *added.fields, T.StructField(error, T.StringType())])
+    spark, names = df.sparkSession, [*added.fieldNames(), error]
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+
+    def answers() -> DataFrame:
+        found = T.StructType([*kept.fields, T.StructField("judge_part", T.IntegerType())])
+        return spark.read.schema(found).parquet(ledger) if exists(spark, f"{ledger}/*") else spark.createDataFrame([], found)
+
+    for i in range(parts):
+        fine = answers().filter(F.col(error).isNull() & (F.col("judge_part") == i)).select(key)
+        todo = df.filter(part == i).join(fine, key, "left_anti")
+        judged = with_judge(todo, fn, fields, error=error, **options).select(key, *names)
+        judged.write.mode("append").parquet(f"{ledger}/judge_part={i}")
+    best = F.max_by(F.struct(*names), F.col(error).isNull())
+    return df.join(answers().groupBy(key).agg(best.alias("_answer")), key, "left").select(*df.columns, "_answer.*")

@@ -54,6 +54,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{use_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+def write_named(df: DataFrame, path: str) -> None:
+    """JSON lines in one file of that name: result files of earlier runs, whose names the readers take apart."""
+    spark = df.sparkSession
+    folder = f"{path}.parts"
+    df.coalesce(1).write.json(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+    (part,) = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))
+    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path))
+
+
 # ------------------------------------------------- SQL text of seeded choices
 def okey(seed, *cols: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {', '.join(cols)}))"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evalloom.functions import seeded, text
-from evalloom.operators import positions
-from evalloom.plans.common import derive, duck, okey, registry, scratch, shuffled, table, u32
+from evalloom.operators import positions, stratify
+from evalloom.plans.common import derive, duck, okey, registry, scratch, shuffled, table, u32, write_named
 from evalloom.sinks import writers
 from evalloom.sources import readers
 
@@ -93,6 +95,23 @@ def _(spark, sf):
     return positions.stratified_split(df, ["p_type", "p_brand"], 0.25, 4, "p_partkey")
 
 
+PAIR_LABELS = ("o_orderstatus", "o_orderpriority", "zone")
+PAIR_ROWS = "select o_orderkey, o_orderstatus, o_orderpriority, cast(o_custkey % 7 as string) as zone from {orders}"
+PAIR_SUMS = [(a, b) for i, a in enumerate(PAIR_LABELS) for b in PAIR_LABELS[i:]]
+
+
+@query("stratified_split_pairs", f"""with r as ({duck(PAIR_ROWS)}) select 'all' as labels, '-' as value, count(*)::bigint as n, true as within_one from r union all """ + " union all ".join(
+    f"select '{a},{b}', coalesce({a}, '-') || ',' || coalesce({b}, '-'), count(*)::bigint, true from r group by {a}, {b}" for a, b in PAIR_SUMS))
+def _(spark, sf):
+    """Every row of the split in the sums of each label and pair of labels, and whether its test rows are within one of three tenths."""
+    rows = stratify.stratified_split_pairs(derive(spark, sf, PAIR_ROWS), list(PAIR_LABELS), "0.3", 4, "o_orderkey")
+    near = (F.abs(10 * F.count_if(F.col("split") == "test") - 3 * F.count("*")) <= 10).alias("within_one")
+    sums = [rows.groupBy(F.lit("all").alias("labels"), F.lit("-").alias("value")).agg(F.count("*").alias("n"), near)]
+    for a, b in PAIR_SUMS:
+        sums.append(rows.groupBy(F.lit(f"{a},{b}").alias("labels"), F.concat(F.coalesce(a, F.lit("-")), F.lit(","), F.coalesce(b, F.lit("-"))).alias("value")).agg(F.count("*").alias("n"), near))
+    return reduce(lambda x, y: x.unionByName(y), sums)
+
+
 # ---------------------------------------------------------------- sources, sinks
 ORDER_ROWS = """select o_orderkey, o_orderpriority, o_orderstatus,
     case when o_orderkey % 5 = 0 then null else o_custkey end as o_custkey from {orders}"""
@@ -192,6 +211,34 @@ def _(spark, sf):
     return readers.missing_runs(df, derive(spark, sf, EXPECTED_RUNS), fields)
 
 
+@query("read_with_source", "select o_orderkey, o_totalprice, 'prio' || substr(o_orderpriority, 1, 1) as source from orders where substr(o_orderpriority, 1, 1) <> '5'")
+def _(spark, sf):
+    """Files of one priority each, read back with their names; the file that is held out is never opened."""
+    root, orders = scratch(spark), table(spark, sf, "orders")
+    for p in "12345":
+        name = f"prio{p}.jsonl" if p < "5" else "prio5-heldout.jsonl"
+        write_named(orders.filter(F.col("o_orderpriority").startswith(p)).select("o_orderkey", "o_totalprice"), f"{root}/{name}")
+    return readers.read_with_source(spark, f"{root}/*.jsonl", orders.select("o_orderkey", "o_totalprice").schema, "heldout")
+
+
+@query("read_runs", """with e as (select event_id, event_type, event_id % 3 as m, event_id % 4 as s from events)
+    select event_id, event_type, 'm' || m as model, 'exp' as experiment, s::varchar as seed, 'row' as kind from e where not (m = 2 and s > 1)
+    union all select -1, '-', m, 'exp', s, 'missing' from (values ('m2', '2'), ('m2', '3'), ('m3', '0')) t(m, s)""")
+def _(spark, sf):
+    """Ten of the thirteen expected runs have a file; each row knows its run, absent runs are listed."""
+    root = scratch(spark)
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    for m in range(3):
+        for s in range(4):
+            if not (m == 2 and s > 1):
+                write_named(events.filter((F.col("event_id") % 3 == m) & (F.col("event_id") % 4 == s)), f"{root}/m{m}_exp_{s}.jsonl")
+    runs = [(f"m{m}", "exp", str(s)) for m in range(3) for s in range(4)] + [("m3", "exp", "0")]
+    expected = spark.createDataFrame(runs, "model string, experiment string, seed string")
+    rows, missing = readers.read_runs(spark, f"{root}/*.jsonl", "event_id long, event_type string", expected=expected)
+    gone = missing.select(F.lit(-1).cast("long").alias("event_id"), F.lit("-").alias("event_type"), "model", "experiment", "seed", F.lit("missing").alias("kind"))
+    return rows.withColumn("kind", F.lit("row")).unionByName(gone)
+
+
 SHARD_PATHS = "select event_id, concat('root/shard_', case when event_id % 9 = 0 then 'recovered' else cast(event_id % 12 as string) end, '/run/f.jsonl') as path from {events}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import detections, grading, images
-from evalloom.plans.common import derive, duck, registry, stripped, table
+from evalloom.plans.common import derive, duck, registry, scratch, stripped, table
 
 QUERIES, query = registry()
 
@@ -144,6 +144,16 @@ def _(spark, sf):
     return filled(judged, "judge_key", "grading_error").drop("inference_completion")
 
 
+@query("judge_with_ledger", f"""select o_orderkey, case when c = '' then '-' else upper(substr(c, 1, 1)) end as judge_key, case when c = '' then 'Failed to query judge: empty answer' else '-' end as grading_error
+    from (select o_orderkey, {stripped('inference_completion')} as c from ({duck(ANSWERS)}))""")
+def _(spark, sf):
+    """Half of the rows are judged by a first start; the second one calls the rest and joins both."""
+    df, ledger = derive(spark, sf, ANSWERS).select("o_orderkey", "inference_completion"), scratch(spark)
+    grading.judge_with_ledger(df.filter("o_orderkey % 2 = 0"), "o_orderkey", _first_letter, "judge_key string", ledger, parts=2)
+    judged = grading.judge_with_ledger(df, "o_orderkey", _first_letter, "judge_key string", ledger, parts=2, max_in_flight=4)
+    return filled(judged, "judge_key", "grading_error").drop("inference_completion")
+
+
 # ------------------------------------------------------------------ pixels
 TINTS = ["0000ff", "00ff00", "ff0000", "00ffff", "ff00ff", "ffff00", "202020"]  # blue-green-red order
 TINT_NAMES = ["red", "green", "blue", "yellow", "purple", "turquoise", "-"]

@@ -89,6 +89,75 @@ def test_judge_errors_stay_in_their_row(spark):
     assert column(df, "key") == ["A", None, "C"] and column(df, "grading_error") == [None, "Failed to query judge: quota", None]
 
 
+def test_judge_calls_run_ahead_across_batches(spark, tmp_path):
+    """The first row waits for a call of a later Arrow batch: only a window over batches lets it end."""
+    flag = str(tmp_path / "later")
+
+    def judge(row):
+        import pathlib
+        import time
+
+        if row["id"] == 9:
+            pathlib.Path(flag).touch()
+        for _ in range(200 if row["id"] == 0 else 0):
+            if pathlib.Path(flag).exists():
+                return {"v": 1}
+            time.sleep(0.05)
+        return {"v": 0 if row["id"] == 0 else 2}
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = grading.with_judge(spark.range(20).coalesce(1), judge, "v int", 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [r.id for r in rows] == list(range(20)) and [r.v for r in rows] == [1] + [2] * 19
+
+
+def test_judge_retries(spark, tmp_path):
+    def judge(row):
+        import pathlib
+
+        seen = pathlib.Path(f"{tmp_path}/{row['id']}")
+        seen.write_text((seen.read_text() if seen.exists() else "") + "x")
+        if len(seen.read_text()) <= row["id"]:
+            raise RuntimeError("busy")
+        return {"v": len(seen.read_text())}
+
+    rows = grading.with_judge(spark.range(5).coalesce(1), judge, "v int", 2, retries=2).collect()
+    assert [r.v for r in rows] == [1, 2, 3, None, None] and rows[4].grading_error == "Failed to query judge: busy"
+    assert all(len((tmp_path / str(i)).read_text()) == min(i + 1, 3) for i in range(5))
+
+
+def test_ledger_survives_a_failed_start(spark, tmp_path):
+    """A task dies half-way; the next start calls only keys without an answer, and the failed ones again."""
+    log, ledger, gone = tmp_path / "calls", str(tmp_path / "ledger"), tmp_path / "fixed"
+
+    def judge(row):
+        with open(f"{log}-{row['id']}", "a") as f:
+            f.write("x")
+        if not gone.exists():
+            if row["id"] == 7:
+                raise SystemExit("lost")  # ends the worker, not only the call
+            if row["id"] % 10 == 3:
+                raise RuntimeError("refused")
+        return {"v": row["id"] * 2}
+
+    df = spark.range(40).repartition(4)
+    part = {r.id: r.p for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(8)).alias("p")).collect()}
+    with pytest.raises(Exception, match="SystemExit|lost|crashed"):
+        grading.judge_with_ledger(df, "id", judge, "v long", ledger, parts=8, max_in_flight=2)
+    gone.touch()
+    for _ in range(2):
+        out = {r.id: r for r in grading.judge_with_ledger(df, "id", judge, "v long", ledger, parts=8, max_in_flight=2).collect()}
+        assert {i: r.v for i, r in out.items()} == {i: 2 * i for i in range(40)} and not any(r.grading_error for r in out.values())
+    calls = {i: len(open(f"{log}-{i}").read()) for i in range(40)}
+    for i in range(40):
+        if part[i] != part[7]:
+            assert calls[i] == (2 if i % 10 == 3 and part[i] < part[7] else 1)
+    assert grading.judge_with_ledger(df.filter("false"), "id", judge, "v long", str(tmp_path / "none"), parts=2).count() == 0
+
+
 def test_text_helpers(spark):
     one = spark.range(1)
 

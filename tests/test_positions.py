@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.functions import seeded
-from evalloom.operators import choices, positions, prompts, shards
+from evalloom.operators import choices, positions, prompts, shards, stratify
 
 PARTITIONS = (1, 4, 17)
 
@@ -216,3 +216,33 @@ def test_global_index_keys_identify_rows(spark):
     assert sorted(r.pos for r in positions.global_index(ties, ["o"], key="id").collect()) == list(range(20))
     with pytest.raises(ValueError, match="NULLs come first"):
         positions.global_index(df, [F.col("o").asc_nulls_last()])
+
+
+# ------------------------------------------------------------ shares of pairs of labels
+def pair_distances(rows, labels, share):
+    out = []
+    for i, a in enumerate(labels):
+        for b in labels[i:]:
+            groups = {}
+            for r in rows:
+                groups.setdefault((r[a], r[b]), []).append(r["split"] == "test")
+            out += [abs(sum(g) - share * len(g)) for g in groups.values()]
+    return max(out)
+
+
+def test_split_keeps_pairs_of_labels(spark):
+    """The grid of 840 combinations, a table with a hot combination and NULL labels: each label and pair within one row of its share."""
+    dims = {"a": list(range(6)), "b": list(range(4)), "c": list(range(7)), "d": list(range(5))}
+    grid = prompts.grid_of_values(spark, dims).withColumn("id", F.concat_ws("-", *dims))
+    rnd = random.Random(2)
+    data = [(i, None if i % 13 == 0 else "x" if i % 3 else rnd.choice("yzw"), rnd.choice("pq") if i % 2 else "p") for i in range(3001)]
+    table = spark.createDataFrame(data, "id int, u string, v string")
+    for df, labels, share in ((grid, list(dims), 0.2), (table, ["u", "v"], 0.25), (table, ["u"], 0.1)):
+        got = [sorted((r.id, r.split) for r in stratify.stratified_split_pairs(df.repartition(n), labels, share, 7, "id").collect()) for n in (1, 5)]
+        assert got[0] == got[1] and len(got[0]) == df.count()
+        split = dict(got[0])
+        rows = [{**r.asDict(), "split": split[r.id]} for r in df.collect()]
+        assert abs(sum(s == "test" for s in split.values()) - share * len(rows)) <= 1
+        assert pair_distances(rows, labels, share) <= 1 + 1e-9
+    assert stratify.stratified_split_pairs(table.filter("false"), ["u"], 0.5, 1, "id").count() == 0
+    assert {r.split for r in stratify.stratified_split_pairs(table, ["u"], 1, 1, "id").collect()} == {"test"}
