@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
+
+Every stage takes an empty table to an empty one, keeps columns of its own names out of the way of those of ``docs``,
+and reads ``doc_id`` and ``text`` only, but for ``n_chars``, which masking counts anew. What each does with nulls, empty texts and repeated rows stands with it.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,30 @@ from evalloom.llm.store import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go: null, empty and very short texts among them. Repeated rows share a verdict; a null id plays no part."""
     return quality.keep_quality(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity of 0.8 or more.
+
+    The smallest id of a group stays, with all rows that repeat it and its text; rows with a null id or no word all stay.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark windows go."""
+    """Documents that hold benchmark windows in one of twenty words or more go; a null or empty text holds none. Items without words have no windows."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, with its secrets masked."""
+    """Every document and every repeated row stays, with its secrets masked; a null text stays null."""
     return secret_ledger.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, placed in sequences."""
+    """Token pieces of all documents, placed in sequences; a null or empty text is its end token alone, repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), keep_ids=True)
 
 

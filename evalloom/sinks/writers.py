@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,26 @@ def write_run_outputs(path: str, run: str, text: DataFrame, image: DataFrame, mo
     finally:
         for df in (cases, image, text):
             df.unpersist()
+
+
+def write_runs(path: str, runs: Mapping[str, tuple[DataFrame, DataFrame]], mode: str = "errorifexists") -> None:
+    """Outputs of several runs, (text rows, image rows) each, in ``path/<run>``; of all of them, ``path/case_table`` and ``path/summary``.
+
+    The summary lists the summaries of the runs, in the given order, and the totals of all cases. The case table of all
+    runs is read back from those of the runs, so no case is worked out twice.
+    """
+    from evalloom.operators import joins, metrics
+
+    cases, summaries = None, None
+    for i, (run, (text, image)) in enumerate(runs.items()):
+        write_run_outputs(f"{path}/{run}", run, text, image, mode)
+        own = text.sparkSession.read.schema(joins.case_table(image, text, run).schema).option("mode", "FAILFAST").json(f"{path}/{run}/case_table")
+        one = metrics.run_summary(text, image, run, own).select(F.lit(i).alias("place"), F.struct("*").alias("summary"))
+        cases = own if cases is None else cases.unionByName(own)
+        summaries = one if summaries is None else summaries.unionByName(one)
+    if cases is None:
+        raise ValueError("no runs")
+    write_jsonl(cases, f"{path}/case_table", mode)
+    listed = summaries.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "summary"))), lambda s: s["summary"]).alias("summaries"))
+    totals = metrics.case_totals(cases).groupBy().agg(F.array_sort(F.collect_list(F.struct("*"))).alias("rows"))
+    write_summary(listed.select(F.array(*[F.lit(run) for run in runs]).alias("runs"), "summaries", totals.scalar().alias("case_conclusion")), f"{path}/summary", mode)

@@ -134,6 +134,42 @@ def test_run_outputs(spark, tmp_path):
     assert summary["run"] == "run-0" and len(summary["per_attribute_image_text_accuracy"]) == 4 and len(summary["cases"]) == 15
 
 
+def test_outputs_of_several_runs(spark, tmp_path):
+    """Three runs: every output read back, field by field against the operators, and the summary over all of them."""
+    from evalloom.operators import joins, metrics
+
+    sf = "/root/testdata/sf0.001"
+    text, image = derive(spark, sf, joining.TEXT_ROWS).persist(), derive(spark, sf, joining.IMAGE_ROWS).persist()
+    runs = {name: (text.filter(F.pmod(F.xxhash64("concept_value_synthetic"), F.lit(4)) != k), image.filter(F.pmod(F.xxhash64("sample_id"), F.lit(3)) == k)) for k, name in enumerate(("b-run", "a-run", "c-run"))}
+    writers.write_runs(str(tmp_path), runs)
+
+    def same(folder, expected):
+        back = spark.read.schema(expected.schema).option("mode", "FAILFAST").json(f"{tmp_path}/{folder}")
+        assert sorted(map(str, back.collect())) == sorted(map(str, expected.collect())) and back.count() > 0
+
+    def document(folder):
+        return json.loads("\n".join(r.value for r in spark.read.text(f"{tmp_path}/{folder}/summary", wholetext=True).collect()))
+
+    own = {}
+    for name, (t, i) in runs.items():
+        same(f"{name}/text_memory", t)
+        same(f"{name}/image_memory", i)
+        own[name] = joins.case_table(i, t, name)
+        same(f"{name}/case_table", own[name])
+        same(f"{name}/per_attribute", metrics.per_attribute_modality(t, i))
+        assert document(name)["run"] == name and document(name)["image"]
+    all_cases = own["b-run"].unionByName(own["a-run"]).unionByName(own["c-run"])
+    same("case_table", all_cases)
+    whole = document(".")
+    assert whole["runs"] == ["b-run", "a-run", "c-run"] and [s["run"] for s in whole["summaries"]] == whole["runs"]
+    assert whole["summaries"][1] == document("a-run")
+    key = lambda r: json.dumps(r, sort_keys=True)
+    totals = [json.loads(r.value) for r in metrics.case_totals(all_cases).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect()]
+    assert sorted(whole["case_conclusion"], key=key) == sorted(totals, key=key)
+    with pytest.raises(ValueError, match="no runs"):
+        writers.write_runs(str(tmp_path / "none"), {})
+
+
 def test_images_from_png(spark, tmp_path):
     write_png(tmp_path / "red.png", scene((255, 0, 0), [(10, 10)]))
     write_png(tmp_path / "blue.png", scene((0, 0, 255), [(80, 80)]))
