@@ -145,3 +145,20 @@ def test_scores_do_not_know_held_out_labels(spark, docs):
     two = one.union(spark.createDataFrame([(k, k % 4 // 2) for k in (1, 3, 5, 7, 9, 11)], "doc_id long, quality int"))
     found = [sorted((r.doc_id or -1, round(r.score, 9)) for r in pu_quality.score_quality(docs, labels, ~held).collect()) for labels in (one, two)]
     assert found[0] == found[1]
+
+
+# ------------------------------------------------------------ the pipeline
+def test_stages_on_edge_rows_and_on_nothing(spark, docs):
+    """Every stage keeps its columns, whatever stands in the rows; nothing comes of nothing."""
+    import corpus_pipeline
+
+    for table in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = table.columns
+            table = stage(spark, table, "/root/testdata/sf0.001")
+            assert table.columns == columns, name
+        kept = {(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()}
+        packed = corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").collect()
+        assert {r.doc_id for r in packed} == {i for i, _ in kept}
+        if kept:
+            assert {1, 2, 3, 4} & {i for i, _ in kept} == set() and len({i for i, _ in kept} & {5, 6}) == 1
