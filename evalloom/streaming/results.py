@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -50,28 +50,78 @@ def graded(spark: SparkSession, out_dir: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("basePath", out_dir).option("mode", "FAILFAST").json(out_dir).drop("batch")
 
 
-def upsert_stream(df: DataFrame, target: str, key: str, order: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch's last row per key as its own partition of ``target``.
+def _commits(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the batches whose commit is complete, rising."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{target}/commits/*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
 
-    A repeated batch overwrites its own folder only, so a restart neither loses
-    nor doubles rows, and the cost of a batch does not grow with the target.
-    ``latest`` resolves retries across batches.
+
+def _versions(spark: SparkSession, target: str, batch: int) -> dict[int, int]:
+    """Which version of each bucket holds after ``batch``: one small file."""
+    rows = spark.read.schema("bucket int, version long").json(f"{target}/commits/{batch}").collect()  # at most one row per bucket
+    return {r.bucket: r.version for r in rows}
+
+
+def _commit(spark: SparkSession, target: str, batch: int, versions: dict[int, int]) -> None:
+    rows = spark.createDataFrame(sorted(versions.items()), "bucket int, version long")
+    rows.coalesce(1).write.mode("overwrite").json(f"{target}/commits/{batch}")
+
+
+def _read(spark: SparkSession, target: str, versions: dict[int, int]) -> DataFrame:
+    empty = spark.read.parquet(f"{target}/fields")
+    paths = [f"{target}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(empty.schema).parquet(*paths) if paths else empty
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def upsert_stream(df: DataFrame, target: str, key: str, order: Sequence[str], checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep one row per key: each micro-batch's last row per key takes the place of the stored one.
+
+    ``target`` is cut into ``buckets`` by a hash of the key. A batch rewrites the buckets that it has keys of, as its own
+    version, and then commits which version of each bucket holds. It starts from the last commit before its own number, so
+    a batch that is run again after a failure overwrites only what it wrote before, and a late retry replaces a failure
+    of an earlier batch. What a batch costs grows with the buckets it touches: choose their number so that one is
+    a few hundred MB. ``order`` and ``buckets`` must stay the same over restarts.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_last(batch, key, order).drop("first_seen")
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = dedupe_last(batch, key, order).drop("first_seen").withColumn("bucket", _bucket(key, buckets)).persist()
+        try:
+            rows.limit(0).drop("bucket").write.mode("ignore").parquet(f"{target}/fields")
+            before = [b for b in _commits(spark, target) if b < batch_id]
+            versions = _versions(spark, target, before[-1]) if before else {}
+            touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most one row per bucket
+            stored = _read(spark, target, {b: v for b, v in versions.items() if b in touched})
+            kept = stored.join(rows.select(key), key, "left_anti").withColumn("bucket", _bucket(key, buckets))
+            kept.select(*rows.columns).unionByName(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={batch_id}")
+            _commit(spark, target, batch_id, {**versions, **dict.fromkeys(touched, batch_id)})
+        finally:
+            rows.unpersist()
 
     return df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str, key: str, order: Sequence[str]) -> DataFrame:
-    """The last result per id over all batches; later batches win, so retries replace failures."""
-    rows = spark.read.option("basePath", target).parquet(target)
-    return dedupe_last(rows, key, ["batch", *order]).drop("first_seen", "batch")
+    """The last result per id over all batches, as committed: one stored row per id, read without a shuffle."""
+    done = _commits(spark, target)
+    if not done:
+        raise ValueError(f"no batch has been committed in {target}")
+    return _read(spark, target, _versions(spark, target, done[-1]))
 
 
-def compact(spark: SparkSession, target: str, new_target: str, key: str, order: Sequence[str]) -> None:
-    """Fold all batches into one; readers switch when the new folder is complete."""
+def compact(spark: SparkSession, target: str, new_target: str, key: str, order: Sequence[str], buckets: int = 64) -> None:
+    """What holds now as the first version of a new folder, without superseded ones; readers switch when it is complete."""
     rows = latest(spark, target, key, order)
-    rows.withColumn("batch", F.lit(-1)).write.mode("errorifexists").partitionBy("batch").parquet(new_target)
+    rows.limit(0).write.mode("errorifexists").parquet(f"{new_target}/fields")
+    placed = rows.withColumn("bucket", _bucket(key, buckets)).persist()
+    try:
+        placed.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{new_target}/version=-1")
+        _commit(spark, new_target, -1, {r.bucket: -1 for r in placed.select("bucket").distinct().collect()})
+    finally:
+        placed.unpersist()

@@ -304,6 +304,50 @@ def test_upsert_and_compact(spark, tmp_path):
     assert {tuple(r) for r in results.latest(spark, str(tmp_path / "folded"), "id", ["n"]).select("id", "n", "v").collect()} == expected
 
 
+def test_upsert_keeps_one_row_per_key(spark, tmp_path):
+    """A batch that dies before its commit runs again; a late retry replaces a failure; nothing is shuffled or merged on reading."""
+    inbox, target, state = tmp_path / "in", str(tmp_path / "target"), str(tmp_path / "state")
+    inbox.mkdir()
+
+    def arrive(name, rows):
+        (inbox / f"{name}.json").write_text("".join(json.dumps({"id": i, "n": n, "v": v}) + "\n" for i, n, v in rows))
+
+    def run():
+        stream = spark.readStream.schema("id string, n int, v string").json(str(inbox))
+        results.upsert_stream(stream, target, "id", ["n"], state, buckets=4).awaitTermination()
+
+    def held():
+        df = results.latest(spark, target, "id", ["n"])
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        return sorted(tuple(r) for r in df.select("id", "n", "v").collect())
+
+    with pytest.raises(ValueError, match="no batch"):
+        results.latest(spark, target, "id", ["n"])
+    arrive("1", [(f"k{i}", i, "fail" if i % 5 == 0 else "ok") for i in range(30)] + [("k1", 40, "again")])
+    run()
+    first = held()
+    assert len(first) == 30 and ("k1", 40, "again") in first and ("k5", 5, "fail") in first
+    commit, done = results._commit, []
+
+    def lost(*args):
+        raise RuntimeError("lost before the commit")
+
+    arrive("2", [("k5", 1, "retried"), ("new", 1, "ok")])
+    results._commit = lost
+    try:
+        with pytest.raises(Exception, match="lost before the commit"):
+            run()
+    finally:
+        results._commit = commit
+    assert held() == first  # written, but not committed
+    for _ in range(2):
+        run()
+        done.append(held())
+    assert done[0] == done[1] == sorted([r for r in first if r[0] != "k5"] + [("k5", 1, "retried"), ("new", 1, "ok")])
+    results.compact(spark, target, str(tmp_path / "folded"), "id", ["n"], buckets=4)
+    assert sorted(tuple(r) for r in results.latest(spark, str(tmp_path / "folded"), "id", ["n"]).select("id", "n", "v").collect()) == done[0]
+
+
 def test_metric_csv(spark, tmp_path):
     writers.write_metric_csv(spark.createDataFrame([("m", 0.5)], "model string, accuracy double"), str(tmp_path / "csv"))
     (part,) = (tmp_path / "csv").glob("part-*.csv")
