@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_edges import LONG, ROWS
 
-from evalloom.llm import periodic_runs, pu_quality, whitening
+from evalloom.llm import periodic_runs, pitman_yor, pu_quality, whitening
 
 INF, NAN = math.inf, math.nan
 
@@ -147,6 +147,13 @@ def test_scores_do_not_know_held_out_labels(spark, docs):
     assert found[0] == found[1]
 
 
+# ------------------------------------------------------------ scores of the language model
+def test_scores_do_not_depend_on_partitions(spark):
+    table, held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), F.col("doc_id") % 7 == 0
+    found = [{r.doc_id: r.score for r in pitman_yor.score_texts(d, held).collect()} for d in (table.repartition(2), table.repartition(7, "doc_id"))]
+    assert found[0] == found[1] and len(found[0]) == 200
+
+
 # ------------------------------------------------------------ the pipeline
 def test_stages_on_edge_rows_and_on_nothing(spark, docs):
     """Every stage keeps its columns, whatever stands in the rows; nothing comes of nothing."""
