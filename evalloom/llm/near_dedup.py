@@ -30,7 +30,8 @@ BANDS, ROWS = 32, 5  # misses a pair at similarity 0.8 with chance (1 - 0.8 ** 5
 BATCH = 32  # hashes compared between two decisions
 MISS = 1e-7
 BROADCAST_NODES = 200_000
-BLOCK = 128  # nodes of a bucket that a task compares with as many others
+BLOCK = 1024  # nodes of a bucket that a task compares with as many others, fewer if their sets are large
+VOLUME = 1 << 20  # shingles of a block, 8 bytes each
 #: Bands of the turns; what is left in the buckets of all bands is compared after them.
 TURNS = (range(0, 2), range(2, 8))
 
@@ -218,14 +219,14 @@ def _elsewhere(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(parts: DataFrame, rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(key, low, high, node, part, block, n): what is left of the buckets, each cut into blocks of about BLOCK nodes, for every pair of blocks.
+    """(key, low, high, node, part, block, n): what is left of the buckets, each cut into blocks of about BLOCK nodes and VOLUME shingles at most, for every pair of blocks.
 
     The intersection of two sets of different components is at most the smaller ``rest``; sets for which this rules
     out every partner are left out.
     """
     bound = sizes.join(rest, "node").where(100 * F.col("rest") >= percent * F.col("n"))
     known = parts.join(bound, "node").select("key", "node", "part", "n")
-    blocks = known.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").drop("x", "y")
+    blocks = known.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / VOLUME)).cast("int").alias("blocks"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").drop("x", "y")
     placed = known.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "part", "block", "n")
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = sets_of(nodes, here)
         known = labels if labels is not None else nodes.select("node", F.col("node").alias("component"))
         blocks = _across(parts, _elsewhere(sets, known), sizes, percent)
-        whole = blocks.join(_narrowed(signed, nodes), "node").join(sets, "node")
+        whole = blocks.join(here.written(_narrowed(signed, nodes).join(sets, "node")), "node")  # one row a node, fetched once for all its blocks
         return results.written(whole.groupBy("key", "low", "high").applyInArrow(_judged(least, percent), "a long, b long").distinct())
 
     labels = None
