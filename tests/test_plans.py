@@ -7,7 +7,7 @@ import pytest
 from evalloom.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-IN_PYTHON = {"with_judge", "judge_with_ledger", "detect_color", "detect_position", "stratified_split_pairs"}
+IN_PYTHON = {"with_judge", "detect_color", "detect_position", "stratified_split_pairs"}
 
 
 @pytest.fixture(scope="module")
