@@ -26,12 +26,6 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes row order and partitions, survives executor loss."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def one_row(df: DataFrame) -> Column:
     """The only row of a one-row aggregate as a struct column: a scalar subquery, so no join at all."""
     return df.select(F.struct("*").alias("_row")).scalar()
