@@ -16,15 +16,54 @@ from pyspark.sql import types as T
 from evalloom.operators.positions import index_by_key
 
 BEYOND = 400  # weight of a squared distance beyond one row
+TURNS, WORK = 20_000, 400_000_000  # of the search for quotas where descent ends beyond one row: turns, and sums looked at
+
+
+def _distance_cost(distance: np.ndarray, den: int) -> np.ndarray:
+    beyond = np.maximum(np.abs(distance) - den, 0)
+    return distance * distance + BEYOND * beyond * beyond
+
+
+def _searched(of: np.ndarray, off: np.ndarray, quotas: np.ndarray, counts: np.ndarray, den: int) -> np.ndarray:
+    """Quotas that bring every sum within one row of its share, by a tabu search from where descent ended; the nearest found if none do.
+
+    Each turn moves the cell that costs least one row up or down, also uphill, and lets it rest for some turns. Quotas
+    may leave the two roundings of their share, but not 0..count. Draws are fixed, so a repeated task finds the same.
+    """
+    rng, off, quotas = np.random.default_rng(0), off.copy(), quotas.copy()
+    rest = np.zeros(len(counts), np.int64)
+    beyond = lambda: int((np.maximum(np.abs(off) - den, 0) ** 2).sum())
+    best, least = quotas.copy(), beyond()
+    never = np.iinfo(np.int64).max
+    for turn in range(min(TURNS, WORK // of.size)):
+        if not least:
+            break
+        now = off[of]
+        before = _distance_cost(now, den).sum(axis=1)
+        moves = []
+        for way, can in ((1, quotas < counts), (-1, quotas > 0)):
+            gain = _distance_cost(now + way * den, den).sum(axis=1) - before
+            moves.append(np.where(can & (rest <= turn), gain, never))
+        cell = int(np.argmin(np.minimum(*moves)))
+        if min(m[cell] for m in moves) == never:  # all rest
+            continue
+        way = 1 if moves[0][cell] <= moves[1][cell] else -1
+        quotas[cell] += way
+        off[of[cell]] += way * den
+        rest[cell] = turn + 3 + int(rng.integers(1 + min(20, len(counts) // 4)))
+        if (found := beyond()) < least:
+            best, least = quotas.copy(), found
+    return best
 
 
 def rounded_quotas(codes: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whole quotas of cells whose sums over each label and each pair of labels stay within one of ``num / den`` of their rows, where that can be.
 
-    ``codes`` has a column of label numbers per label, ``counts`` the rows of each cell. Every quota is its share
-    rounded down or up. Rounding by running totals is where it starts; then cells change sides as long as the squared
-    distances of all sums from their shares fall, what lies beyond one row weighing most: single cells, then pairs. All in
-    whole numbers, distances being counted in units of 1 / den rows.
+    ``codes`` has a column of label numbers per label, ``counts`` the rows of each cell. A quota is its share
+    rounded down or up at first. Rounding by running totals is where it starts; then cells change sides as long as the squared
+    distances of all sums from their shares fall, what lies beyond one row weighing most: single cells, then pairs. If a
+    sum still lies beyond one row, a search goes on from there. All in whole numbers, distances being counted in units
+    of 1 / den rows.
     """
     floor, part = counts * num // den, counts * num % den
     margins = [np.zeros(len(counts), np.int64)]
@@ -40,8 +79,7 @@ def rounded_quotas(codes: np.ndarray, counts: np.ndarray, num: int, den: int) ->
     free = part > 0
 
     def cost(distance: np.ndarray) -> np.ndarray:
-        beyond = np.maximum(np.abs(distance) - den, 0)
-        return distance * distance + BEYOND * beyond * beyond
+        return _distance_cost(distance, den)
 
     def change(cell: int) -> int:
         before = int(cost(off[of[cell]]).sum())
@@ -75,7 +113,7 @@ def rounded_quotas(codes: np.ndarray, counts: np.ndarray, num: int, den: int) ->
             change(int(cell))
         if not better:
             break
-    return floor + up
+    return _searched(of, off, floor + up, counts, den)
 
 
 def stratified_split_pairs(df: DataFrame, labels: Sequence[str], fraction: float | str, seed: int | str, key: str, name: str = "split") -> DataFrame:

@@ -1,9 +1,11 @@
 """Seeded choices and positions do not depend on partitions, and counts are exact."""
 
 import hashlib
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,17 @@ def test_split_keeps_pairs_of_labels(spark):
         assert pair_distances(rows, labels, share) <= 1 + 1e-9
     assert stratify.stratified_split_pairs(table.filter("false"), ["u"], 0.5, 1, "id").count() == 0
     assert {r.split for r in stratify.stratified_split_pairs(table, ["u"], 1, 1, "id").collect()} == {"test"}
+
+
+def test_quotas_reach_one_row_after_descent_ends():
+    """Counts of three labels for which single and paired changes of cells end 0.1 or 0.2 rows beyond one."""
+    codes = np.array(list(itertools.product(range(3), range(5), range(7))))
+    for seed in (36, 96, 138, 148):
+        counts = np.random.default_rng(seed).integers(500, 9000, len(codes))
+        quotas = stratify.rounded_quotas(codes, counts, 3, 10)
+        assert (quotas >= 0).all() and (quotas <= counts).all()
+        for chosen in ((), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2)):
+            sums = {}
+            for code, n, q in zip(codes, counts, quotas, strict=True):
+                sums[tuple(code[list(chosen)])] = sums.get(tuple(code[list(chosen)]), 0) + 10 * q - 3 * n
+            assert max(map(abs, sums.values())) <= 10
