@@ -262,3 +262,15 @@ def test_quotas_reach_one_row_after_descent_ends():
             for code, n, q in zip(codes, counts, quotas, strict=True):
                 sums[tuple(code[list(chosen)])] = sums.get(tuple(code[list(chosen)]), 0) + 10 * q - 3 * n
             assert max(map(abs, sums.values())) <= 10
+
+
+def test_compiled_permutation_is_the_permutation(spark):
+    """The projections give the same places as the expression, with walks beyond the unrolled turns; a filter on them does not grow the plan."""
+    for n in (2, 24, 720, math.factorial(20)):
+        df = spark.range(3).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(min(n, 130) - 1))).alias("j"))
+        both = seeded.with_permuted(df, "new", "j", n, 7, "t", turns=1).withColumn("old", seeded.permuted("j", n, 7, F.col("t")))
+        assert both.filter("new is null or new <> old").count() == 0
+    rows = spark.range(50).select("id", *[F.concat(F.lit(a), "id").alias(f"synthetic_{a}") for a in "abcd"], F.lit("i").alias("image"))
+    made = prompts.permuted_prompts(rows, list("abcd"), 24, "words_only", False, 3, "id")
+    assert made.distinct().count() == 1200 == made.count()
+    assert "array_append(" not in made._jdf.queryExecution().executedPlan().toString()  # words are looked up, not arranged step by step
