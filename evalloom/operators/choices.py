@@ -25,12 +25,12 @@ def _lettered(options: Column) -> Column:
 def option_lists(df: DataFrame, group: str | Sequence[str], value: str, name: str = "options") -> DataFrame:
     """Sorted option list per group, at most 26 long."""
     groups = [group] if isinstance(group, str) else list(group)
-    return df.groupBy(*groups).agg(_lettered(F.array_sort(F.collect_list(value))).alias(name))
+    return df.groupBy(*groups).agg(_lettered(F.sort_array(F.collect_list(value))).alias(name))
 
 
 def with_group_lists(df: DataFrame, group: str, columns: Sequence[str], name: str = "_group") -> DataFrame:
     """Every row with the sorted list of its group (at most 26 rows): one shuffle, no self-join."""
-    lists = df.groupBy(group).agg(_lettered(F.array_sort(F.collect_list(F.struct(*columns)))).alias(name))
+    lists = df.groupBy(group).agg(_lettered(F.sort_array(F.collect_list(F.struct(*columns)))).alias(name))
     return lists.select(group, name, F.inline(name))
 
 
@@ -127,7 +127,7 @@ def sample_distractors(
         .select(*w, *keys, "_j", target.cast("long").alias("_pos"))
     )
     drawn = placed.select("_pos", F.struct(*carry).alias("_item"))
-    found = asked.join(drawn, "_pos").groupBy(*w, *keys).agg(F.array_sort(F.collect_list(F.struct("_j", "_item"))).alias("_drawn"))
+    found = asked.join(drawn, "_pos").groupBy(*w, *keys).agg(F.sort_array(F.collect_list(F.struct("_j", "_item"))).alias("_drawn"))
     once = F.when(F.size("_drawn") == n, F.col("_drawn")).otherwise(F.raise_error(F.concat(F.lit("not the key of one row: "), F.concat_ws("|", *keys))))
     return found.select(*w, *keys, F.transform(once, lambda s: s["_item"]).alias(name))
 
@@ -218,7 +218,7 @@ def mc_entity_reverse(
     tagged = F.transform(
         pool, lambda o: F.struct(seeded_key(seed, name, "concept_type", F.lit("reverse"), o[name]).alias("k"), o.alias("o"))
     )
-    q = q.withColumn("_order", F.transform(F.array_sort(tagged), lambda s: s["o"]))
+    q = q.withColumn("_order", F.transform(F.sort_array(tagged), lambda s: s["o"]))
     label = X.lookup("concept_type", labels)
     frames = []
     for kind, pick, answer in (

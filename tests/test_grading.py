@@ -226,3 +226,17 @@ def test_compositional(spark):
     assert got["no target"] == (False, "expected cat>=1, found 0\nno target for cup to be left of")
     assert got["crowd"] == (False, "expected cup<2, found 2")
     assert got["color first"] == (False, "expected blue cup>=1, found 0 blue; and 1 red")
+
+
+def test_lenient_options_normalised_together(spark):
+    """Options that are null, empty, hold the character they are joined by, or lie beyond the option letters; blank answers."""
+    rows = [
+        (1, "I pick red-ish Bus.", ["Red ish bus", None, "", "tram"], "A"), (2, "it was one\x01two", ["zero", "one\x01two"], "B"), (3, "the tram", [None, "tram"], "B"),
+        (4, "  ", ["x y"], None), (5, "so: C or é", ["p", "q"], None), (6, "(b), B!", ["p", "q"], "B"), (7, "B_2 not", ["p", "q"], None), (8, "A or B", ["p", "q"], None),
+        (9, None, ["p"], None), (10, "anything", [], None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, inference_completion string, options array<string>").withColumn("expected_key", F.lit("A"))
+    got = {r.id: r.grading_answer_key for r in grading.grade_letter_lenient(df).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    plan = grading.grade_letter_lenient(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(lower(array_join(") >= 1 and "split(_upper" not in plan
