@@ -171,7 +171,7 @@ def with_options(rows: DataFrame, options: DataFrame) -> DataFrame:
     return rows.join(table, ["concept_type", "concept_value"], "left")
 
 
-def _entity_question(q: DataFrame, name: str, direction: str, kind: str, prompt: Column, answer) -> DataFrame:
+def _entity_question(q: DataFrame, name: str, direction: str, kind: Column, prompt: Column, answer) -> DataFrame:
     return q.select(
         prompt.alias("prompt"),
         X.expected_key("options", answer).alias("expected_key"),
@@ -181,7 +181,7 @@ def _entity_question(q: DataFrame, name: str, direction: str, kind: str, prompt:
         "concept_type",
         "concept_value",
         F.size("options").alias("num_options"),
-        F.lit(kind).alias("type"),
+        kind.alias("type"),
     )
 
 
@@ -195,8 +195,8 @@ def mc_entity_forward(
     label = X.lookup("concept_type", labels)
     by_name = _question(C.ASK_BY_NAME, F.col("options"), attribute=label, name=name)
     by_text = _question(C.ASK_BY_DESCRIPTION, F.col("options"), attribute=label, description="description")
-    return _entity_question(q, name, "forward", "name", by_name, "_answer").unionByName(
-        _entity_question(q, name, "forward", "description", by_text, "_answer")
+    return _entity_question(q, name, "forward", F.lit("name"), by_name, "_answer").unionByName(
+        _entity_question(q, name, "forward", F.lit("description"), by_text, "_answer")
     )
 
 
@@ -220,15 +220,14 @@ def mc_entity_reverse(
     )
     q = q.withColumn("_order", F.transform(F.sort_array(tagged), lambda s: s["o"]))
     label = X.lookup("concept_type", labels)
-    frames = []
-    for kind, pick, answer in (
-        ("name", lambda o: o[name], F.col(name)),
-        ("description", lambda o: X.render_prompt(C.PERSON_WITH, description=o["description"]), X.render_prompt(C.PERSON_WITH, description="description")),
-    ):
-        asked = q.withColumn("options", F.transform("_order", pick))
-        prompt = _question(C.ASK_WHO, F.col("options"), value="_natural", attribute=label)
-        frames.append(_entity_question(asked, name, "reverse", kind, prompt, answer))
-    return frames[0].unionByName(frames[1])
+    person = lambda text: X.render_prompt(C.PERSON_WITH, description=text)
+    kinds = F.array(
+        F.struct(F.lit("name").alias("type"), F.col(name).alias("_target"), F.transform("_order", lambda o: o[name]).alias("options")),
+        F.struct(F.lit("description").alias("type"), person("description").alias("_target"), F.transform("_order", lambda o: person(o["description"])).alias("options")),
+    )
+    asked = q.select("*", F.inline(kinds))  # one pass over the draws for both kinds
+    prompt = _question(C.ASK_WHO, F.col("options"), value="_natural", attribute=label)
+    return _entity_question(asked, name, "reverse", F.col("type"), prompt, "_target")
 
 
 # ------------------------------------------------------- existing choice sets

@@ -58,3 +58,8 @@ def test_windows_over_everything_see_counts_only(spark, plans):
             m = re.search(r"Window \[(.*)\], \[\w+#\d+ ASC NULLS FIRST\]$", line)
             if m and "windowspecdefinition(" in line and not re.search(r"windowspecdefinition\(\w+#\d+L?, ", line):
                 assert "_n#" in line, (name, line)
+
+
+def test_reverse_questions_draw_once(plans):
+    """Both kinds of question come from one pass over the drawn options."""
+    assert plans["mc_entity_reverse"].split("== Physical Plan ==")[-1].count("Union") == 0
