@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom import constants as C
@@ -15,6 +16,7 @@ from evalloom.operators.positions import global_index
 from evalloom.operators.tabular import filter_single_image_mc, unpivot_columns
 
 LETTERS = 26
+BLOCK = 4096  # groups whose starts are summed together
 
 
 def _lettered(options: Column) -> Column:
@@ -89,6 +91,25 @@ def mc_value_to_type(code_map: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _spans(keyed: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Where rows that share ``by`` start in the order of ``by``, and how many they are; and where each of their hash buckets starts.
+
+    Only counts are ordered: one row per group, and running sums by blocks of BLOCK groups.
+    """
+    buckets = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    groups = global_index(buckets.groupBy(*by).agg(F.sum("_n").alias("_own")), by, "_rank").withColumn("_block", F.floor(F.col("_rank") / BLOCK))
+    blocks = groups.groupBy("_block").agg(F.sum("_own").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_own").over(Window.partitionBy("_block").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = groups.withColumn("_inside", inside).join(blocks.select("_block", before.alias("_before")), "_block")
+    spans = placed.select(*by, (F.col("_before") + F.col("_inside")).alias("_start"), "_own")
+    first = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = buckets.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*by, "_bucket"])], first.alias("_in"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(by)])
+    starts = numbered.join(spans, same).select(*[f"_s{i}" for i in range(len(by) + 1)], (F.col("_start") + F.col("_in")).alias("_first"))
+    return spans, starts
+
+
 def sample_distractors(
     df: DataFrame, attr: str, n: int, seed: int | str, key: str | Sequence[str], carry: Sequence[str], within: str | None = None,
     name: str = "distractors",
@@ -105,14 +126,17 @@ def sample_distractors(
     """
     w = [within] if within else []
     keys = [key] if isinstance(key, str) else list(key)
-    keyed = df.select(*dict.fromkeys([*keys, attr, *carry, *w]))
-    placed = global_index(keyed.withColumn("_okey", seeded_key(seed, *w, *keys)), [*w, attr, "_okey", *keys], "_pos")
-    spans = placed.groupBy(*w, attr).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_own"))
+    keyed = df.select(*dict.fromkeys([*keys, attr, *carry, *w])).withColumn("_okey", seeded_key(seed, *w, *keys))
+    keyed = keyed.withColumn("_bucket", F.substring("_okey", 1, 2))
+    spans, starts = _spans(keyed, [*w, attr])
+    inside = F.row_number().over(Window.partitionBy(*w, attr, "_bucket").orderBy("_okey", *keys))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*w, attr, "_bucket"])])
+    placed = keyed.withColumn("_inside", inside).join(starts, same).withColumn("_pos", F.col("_first") + F.col("_inside") - 1)
     if within:
         whole = spans.groupBy(within).agg(F.min("_start").alias("_base"), F.sum("_own").alias("_total"))
         spans = spans.join(whole, within)
     else:
-        whole = placed.agg(F.min("_pos").alias("_base"), F.count(F.lit(1)).alias("_total"))
+        whole = spans.agg(F.min("_start").alias("_base"), F.sum("_own").alias("_total"))
         spans = spans.withColumn("_whole", one_row(whole)).select("*", "_whole._base", "_whole._total").drop("_whole")
     rest = F.col("_total") - F.col("_own")
     lo, hi = F.floor(rest * F.col("_j") / n), F.floor(rest * (F.col("_j") + 1) / n)
@@ -121,7 +145,7 @@ def sample_distractors(
         F.col("_base") + F.pmod(F.col("_start") - F.col("_base") + F.col("_own") + offset, F.col("_total"))
     )
     asked = (
-        placed.select(*dict.fromkeys([*w, attr, *keys]))
+        keyed.select(*dict.fromkeys([*w, attr, *keys]))
         .join(spans, [*w, attr])
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .select(*w, *keys, "_j", target.cast("long").alias("_pos"))
