@@ -154,6 +154,45 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert found[0] == found[1] and len(found[0]) == 200
 
 
+def test_words_are_predicted_from_the_word_before(spark):
+    """All words are as frequent and end alike; only the word before tells them apart."""
+    rows = [(i, "oneth twoth" if i % 2 else "sixth tenth") for i in range(200)] + [(200, "oneth twoth"), (201, "oneth tenth"), (202, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pitman_yor.score_texts(table, F.col("doc_id") >= 200).collect()}
+    assert got[200].base_score == got[201].base_score and got[200].score > got[201].score + 0.5
+    assert got[202].n_tokens == 1 and all(got[i].score == got[200].score for i in range(1, 200, 2))
+
+
+def test_probabilities_after_a_word_sum_to_one():
+    import numpy as np
+
+    n, tables = np.array([7, 2, 1, 0, 0]), np.array([2.5, 1.25, 1, 0, 0])
+    prior = np.log10([0.1, 0.2, 0.3, 0.15, 0.25])
+    for size, every in ((10.0, 4.75), (0.0, 0.0)):
+        some = n * (size > 0)
+        scores = pitman_yor.pair_scores(some, tables * (size > 0), np.full(5, size), np.full(5, every), prior, 0.6, 3.0)
+        assert np.isclose((10.0**scores).sum(), 1)
+
+
+def test_strength_of_restaurants():
+    import numpy as np
+
+    size, tables = np.array([1, 2, 9, 300]), np.array([1, 2, 4, 80])
+    for strength in (0.3, 5.0, 400.0):
+        want = [sum(1 / (strength + 0.6 * i) for i in range(1, t)) - sum(1 / (strength + i) for i in range(1, c)) for c, t in zip(size, tables, strict=True)]
+        assert np.allclose(pitman_yor.strength_slope(size, tables, 0.6, strength), want)
+
+
+def test_keyed_binomial_draws():
+    import numpy as np
+
+    keys = np.arange(20_000, dtype=np.uint64)
+    for n, p in ((70, 0.01), (5000, 0.3), (64, 0.97), (100, 0.0), (10**6, 1e-4)):
+        got = pitman_yor.Keyed(keys, 3).binomial(np.arange(len(keys)), 64, np.full(len(keys), n), np.full(len(keys), p))
+        assert got.min() >= 0 and got.max() <= n and abs(got.mean() - n * p) <= 5 * (n * p * (1 - p) / len(keys)) ** 0.5
+        assert abs(got.var() - n * p * (1 - p)) <= 0.06 * n * p * (1 - p)
+
+
 # ------------------------------------------------------------ the pipeline
 def test_stages_on_edge_rows_and_on_nothing(spark, docs):
     """Every stage keeps its columns, whatever stands in the rows; nothing comes of nothing."""
