@@ -69,12 +69,15 @@ def encode_turns(
 
 
 def pad_batch(
-    df: DataFrame, batch: str, pad: int, side: str = "right", max_len: int | None = None, input_ids: str = "input_ids", labels: str = "labels"
+    df: DataFrame, batch: str, pad: int, side: str = "right", max_len: int | None = None, input_ids: str = "input_ids", labels: str = "labels",
+    joined: str | None = None,
 ) -> DataFrame:
     """Pad to the longest of the batch; labels get the ignore id, the mask marks real ids.
 
     The longest length is one number per batch, found with map-side partial
-    results and joined back, so no batch has to fit in one task.
+    results and joined back, so no batch has to fit in one task. With ``joined``
+    the three sequences are texts of their ids with that separator; the padding
+    is then repeated as text and never held as ids.
     """
     if side not in ("right", "left"):
         raise ValueError(f"unknown side {side!r}")
@@ -88,8 +91,19 @@ def pad_batch(
         gap = repeated(value, F.col("_gap"))
         return F.concat(c, gap) if side == "right" else F.concat(gap, c)
 
-    mask = fill(repeated(1, F.size(input_ids)), 0)
+    def fill_text(c: str, own: Column, value: int) -> Column:
+        """``own`` is null where there is no sequence ``c``, and empty where it has no ids."""
+        gap = F.when(F.col("_gap") > 0, F.concat(F.repeat(F.lit(f"{value}{joined}"), F.col("_gap") - 1), F.lit(str(value)))).otherwise("")
+        between = F.when((F.size(c) > 0) & (F.col("_gap") > 0), joined).otherwise("")
+        return F.concat(own, between, gap) if side == "right" else F.concat(gap, between, own)
+
+    if joined is None:
+        of_column, mask = lambda c, value: fill(F.col(c), value), fill(repeated(1, F.size(input_ids)), 0)
+    else:
+        ones = F.concat(F.repeat(F.lit(f"1{joined}"), F.size(input_ids) - 1), F.lit("1"))
+        of_column = lambda c, value: fill_text(c, F.array_join(F.col(c).cast("array<string>"), joined), value)
+        mask = fill_text(input_ids, F.when(F.size(input_ids) > 0, ones).when(F.col(input_ids).isNotNull(), ""), 0)
     return rows.select(
-        *[fill(F.col(c), pad if c == input_ids else IGNORE_ID).alias(c) if c in (input_ids, labels) else F.col(c) for c in df.columns],
+        *[of_column(c, pad if c == input_ids else IGNORE_ID).alias(c) if c in (input_ids, labels) else F.col(c) for c in df.columns],
         mask.alias("attention_mask"),
     )

@@ -71,8 +71,7 @@ LEFT = "array_to_string(list_concat(list_transform(range(n - len(ids)), lambda x
 def padded(spark, sf, side, max_len=None):
     d = index_by_key(table(spark, sf, "documents").select("doc_id", "text"), 13, "doc_id")
     d = d.select("doc_id", F.floor(F.col("pos") / 16).alias("batch"), word_ids("text").alias("input_ids")).withColumn("labels", F.col("input_ids"))
-    out = sequences.pad_batch(d, "batch", 0, side, max_len)
-    return out.select("doc_id", "batch", shown("input_ids", "input_ids"), shown("labels", "labels"), shown("attention_mask", "attention_mask"))
+    return sequences.pad_batch(d, "batch", 0, side, max_len, joined=",").select("doc_id", "batch", "input_ids", "labels", "attention_mask")
 
 
 @query("pad_batch_right", PAD_SQL.format(RIGHT))

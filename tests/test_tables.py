@@ -167,6 +167,18 @@ def test_padding(spark):
     assert sorted((r.batch, r.input_ids, r.labels, r.attention_mask) for r in left) == [(0, [0, 1], [-100, 1], [0, 1]), (0, [1, 2], [-100, 2], [1, 1]), (1, [5], [5], [1])]
 
 
+def test_padded_texts_are_the_padded_ids(spark):
+    df = spark.createDataFrame([(1, 0, [1, 2, 3]), (2, 0, [7]), (3, 0, []), (4, 0, None), (5, 1, [8]), (6, 2, []), (7, 3, None)], "k int, batch int, input_ids array<int>")
+    df = df.withColumn("labels", F.col("input_ids"))
+    for side in ("right", "left"):
+        for max_len in (None, 2):
+            names = ["input_ids", "labels", "attention_mask"]
+            ids = sequences.pad_batch(df, "batch", 0, side, max_len).select("k", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in names])
+            texts = sequences.pad_batch(df, "batch", 0, side, max_len, joined=",")
+            assert sorted(ids.collect()) == sorted(texts.select("k", *names).collect())
+            assert "array_repeat" not in texts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chat(spark):
     df = spark.createDataFrame([(1, 0, "user", " hi "), (1, 1, "assistant", "")], "conv_id int, turn int, role string, text string")
     assert sequences.render_chat(df).first().rendered == "User: hi\n\nAssistant:"
