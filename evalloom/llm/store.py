@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from evalloom.context import use_checkpoint_dir
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: cuts lineage and outlives a lost executor."""
     path = f"{use_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

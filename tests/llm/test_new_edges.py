@@ -174,6 +174,37 @@ def test_probabilities_after_a_word_sum_to_one():
         assert np.isclose((10.0**scores).sum(), 1)
 
 
+def test_steps_leave_no_spent_shuffles_or_tables(spark, monkeypatch):
+    """Shuffle files go with the step that made them, and what is left at the end is what the result is read from."""
+    import glob
+    import os
+
+    table, kept = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    monkeypatch.setattr(pitman_yor, "written", lambda df, f=pitman_yor.written, **options: kept.append(f(df, **options)) or kept[-1])
+    before = spark.conf.get(pitman_yor.CLEAN_UP, None)
+    out = pitman_yor.score_texts(table, F.col("doc_id") % 7 == 0)
+    assert spark.conf.get(pitman_yor.CLEAN_UP, None) == before
+    size = lambda df: sum(os.path.getsize(x) for path in {os.path.dirname(x.removeprefix("file:")) for x in df.inputFiles()} for x in glob.glob(f"{path}/*.parquet"))
+    tables = sum(map(size, kept))
+    assert 0 < size(out) and tables - size(out) < 0.25 * size(out)
+    assert out.count() == 200
+
+
+def test_pairs_meet_in_cells():
+    """Words of buckets of any size, none too: a pair stands in one cell, and words come back from their buckets."""
+    for sizes in ([5, 0, 3, 9, 0, 0, 2, 8, 1, 1, 4, 7], [0] * 11 + [3], [2]):
+        numbering = pitman_yor.Numbering(sizes)
+        words = np.arange(sum(sizes))
+        bucket = numbering.bucket(words)
+        assert (np.bincount(bucket, minlength=len(sizes)) == sizes).all()
+        cell = numbering.cell(*(x.ravel() for x in np.meshgrid(bucket, bucket)))
+        assert cell.min() >= 0 and cell.max() < numbering.rows * numbering.columns <= len(sizes)
+        rows = numbering.dealt(pitman_yor.FIRSTS, pitman_yor.ALL, 1, words).to_pylist()
+        assert [numbering.start[r["bucket"]] + at for r in rows for at in np.cumsum(pitman_yor.unpacked(r["a"]))] == words.tolist()
+    with pytest.raises(OverflowError):
+        pitman_yor.Numbering([1 << 31, 1 << 31])
+
+
 def test_strength_of_restaurants():
     import numpy as np
 
