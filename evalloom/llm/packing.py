@@ -20,6 +20,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ GROUPS = 16
 END_ID = 0
 ROWS_PER_BUCKET = 100_000
 REMEMBERED = 1_000_000  # words of which a Python worker keeps the ids, some 200 MB
+SEPARATOR = b"\x01"  # stands between words that are encoded as one text
 GAP = 2e-4  # the configurations may need this share of sequences more than the linear programme's bound
 
 
@@ -166,7 +168,8 @@ class WordIds:
     """Token ids of texts from the ids of their words, each word encoded once while it is remembered.
 
     Right for a tokenizer that drops white space and lets no token span it, as the one of the registered
-    query does: the ids of a text are then the ids of its words in order.
+    query does: the ids of a text are then the ids of its words in order. Words are what ASCII white space
+    parts, the empty one before or behind it included, which has no ids.
     """
 
     def __init__(self, tokenizer: str):
@@ -174,38 +177,75 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(tokenizer)
-        self.forget()
-
-    def forget(self) -> None:
+        self.separator = self.joint([SEPARATOR])
         self.slot: dict[bytes, int] = {}
-        self.ends, self.parts = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")  # grown by doubling
+        self.bounds, self.parts = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")  # ids of slot k: parts[bounds[k] : bounds[k + 1]]
+        self.again = np.zeros(1 << 16, bool)  # slots met in a later chunk too; these three are grown by doubling
+
+    def joint(self, words: list[bytes]) -> np.ndarray:
+        """Ids of the words as one text."""
+        text = (b" " + SEPARATOR + b" ").join(words).decode()
+        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, how many each has).
+
+        One text of all words, since a call costs more than a word does. Every separator gives its id; if there are no more
+        of these, no word has it and they part the words. Otherwise the words are encoded one by one.
+        """
+        if len(self.separator) == 1:
+            ids = self.joint(words)
+            cuts = np.flatnonzero(ids == self.separator[0])
+            if len(cuts) == len(words) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        each = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(itertools.chain.from_iterable(each), "<u4", int(size.sum())), size
+
+    def learn(self, words: list[bytes]) -> None:
+        """Give each word, none of them known, the next slot."""
+        for at in range(0, len(words), 1000):
+            batch = words[at : at + 1000]
+            ids, size = self.encoded(batch)
+            n, start = len(self.slot), self.bounds[len(self.slot)]
+            while n + len(batch) >= len(self.bounds) or start + len(ids) > len(self.parts):
+                self.bounds, self.parts, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.bounds, self.parts, self.again))
+            self.bounds[n + 1 : n + len(batch) + 1] = start + np.cumsum(size)
+            self.parts[start : start + len(ids)] = ids
+            self.again[n : n + len(batch)] = False
+            self.slot.update(zip(batch, range(n, n + len(batch)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
+    def forget(self) -> None:
+        """Keep the words met again since the last time; if these are over half of what may be remembered, none."""
+        kept = np.flatnonzero(self.again[: len(self.slot)])
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        start, size = self.bounds[kept], self.bounds[kept + 1] - self.bounds[kept]
+        ids = self.parts[ranges(start, size)]
+        self.parts[: len(ids)] = ids
+        self.bounds[1 : len(kept) + 1] = np.cumsum(size)
+        words = itertools.compress(self.slot, self.again) if len(kept) else ()  # slots are numbered in the order of the dict
+        self.slot = dict(zip(words, range(len(kept))))
+        self.again[:] = False
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: none) and the end id, as little-endian unsigned 32-bit numbers."""
         if len(self.slot) > REMEMBERED:
             self.forget()
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.slot))
-        for at in range(0, len(new), 1000):
-            batch = new[at : at + 1000]
-            ids = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in batch], add_special_tokens=False)]
-            n, size = len(self.slot), np.fromiter(map(len, ids), np.int64, len(ids))
-            start = self.ends[n - 1] if n else 0
-            end = start + int(size.sum())
-            while n + len(batch) > len(self.ends) or end > len(self.parts):
-                self.ends, self.parts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.parts))
-            self.ends[n : n + len(batch)] = start + np.cumsum(size)
-            self.parts[start:end] = np.fromiter(itertools.chain.from_iterable(ids), "<u4", end - start)
-            self.slot.update(zip(batch, range(n, n + len(batch)), strict=True))
-        words = list(itertools.chain.from_iterable(split))
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        ends = self.ends[slots]
-        starts = np.where(slots > 0, self.ends[slots - 1], 0)
-        found = self.parts[ranges(starts, ends - starts)]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        tokens = np.append(0, np.cumsum(ends - starts))[np.append(0, np.cumsum(counts))]
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()  # bytes, without a scalar for each
+        slots = np.fromiter(map(self.slot.get, words, itertools.repeat(-1)), np.int64, len(words))
+        self.again[slots[slots >= 0]] = True
+        new = np.flatnonzero(slots < 0)
+        slots[new] = len(self.slot) + np.arange(len(new))
+        self.learn([words[i] for i in new.tolist()])
+        at = found.indices.to_numpy()
+        start, size = self.bounds[slots][at], (self.bounds[slots + 1] - self.bounds[slots])[at]
+        ids = self.parts[ranges(start, size)]
+        tokens = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]
         mark = np.array([END_ID], "<u4")
-        return [np.append(found[a:b], mark) for a, b in zip(tokens, tokens[1:])]
+        return [np.append(ids[a:b], mark) for a, b in zip(tokens, tokens[1:])]
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -223,7 +263,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
         memo = word_ids(tokenizer)
         for chunk in text_chunks(batches, "text"):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(memo.encode(chunk.column(1).cast(pa.binary()).fill_null(b"").to_pylist())):
+            for i, ids in enumerate(memo.encode(chunk.column(1))):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     row.append(i)

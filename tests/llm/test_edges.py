@@ -265,3 +265,43 @@ def test_suffix_dedup(docs, empty, docs_of):
     rows = [(1, edge[:49]), (2, edge[:50]), (3, "é" + edge[:50]), (4, edge[10:70]), (5, edge[100:149] + edge[:49]), (6, "ab" * 60), (7, "ab" * 40)]
     got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_strings(docs_of(rows), chunk_bytes=60).collect()}
     assert got == {i: len(gone) for i, (_, gone) in plain.kept_bytes(rows).items()}
+
+
+def test_words_are_encoded_many_at_once_and_kept():
+    """A call of the tokenizer takes many words, and what comes again is not encoded again when others are forgotten."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeéß,.'") for _ in range(rnd.randint(4, 9)))
+    common, given = [word() for _ in range(100)], []
+
+    class Counted:
+        def __init__(self, encoder):
+            self.encoder = encoder
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.encoder.encode_batch_fast(texts, **options)
+
+    path = tokenizer_file("word_bpe_49k.json")
+    memo, whole = packing.WordIds(path), Tokenizer.from_file(path)
+    memo.encoder = Counted(memo.encoder)
+    packing.REMEMBERED, before = 1000, packing.REMEMBERED
+    try:
+        for turn in range(6):
+            texts = [" ".join([*common, *(word() for _ in range(400))]) for _ in range(2)]
+            given.clear()
+            for text, ids in zip(texts, memo.encode(pa.array(texts)), strict=True):
+                assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+            assert 1 <= len(given) <= 2
+            assert turn < 1 or not set(common) & {w for text in given for w in text.split()}
+        assert len(memo.slot) < 2000
+    finally:
+        packing.REMEMBERED = before
+    odd = ["", None, " ", "\x01", "a \x01 b", "a\x01", "\x01 " * 3, "x\x1cy\x85z q  　r", "́ é H̱ İI ΑΣ", "it's 'Sa <|endoftext|>b <|ENDOFTEXT|>", "\t\v\fa\r\n", "漢字 12３ ½"]
+    for texts in (odd, odd[:3], []):
+        found = packing.WordIds(path).encode(pa.array(texts, pa.string()))
+        assert [ids.tolist() for ids in found] == [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
