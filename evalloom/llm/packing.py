@@ -224,8 +224,9 @@ class WordIds:
         ids = self.parts[ranges(start, size)]
         self.parts[: len(ids)] = ids
         self.bounds[1 : len(kept) + 1] = np.cumsum(size)
-        words = itertools.compress(self.slot, self.again) if len(kept) else ()  # slots are numbered in the order of the dict
-        self.slot = dict(zip(words, range(len(kept))))
+        words = list(itertools.compress(self.slot, self.again)) if len(kept) else []  # slots are numbered in the order of the dict
+        self.slot = {}  # the old one goes before the new one is filled
+        self.slot.update(zip(words, range(len(kept)), strict=True))
         self.again[:] = False
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
