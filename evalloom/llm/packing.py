@@ -313,6 +313,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, leng
     ranked = ranked.select(*pieces.columns, (F.col(first) + F.col(rank)).alias(rank))
 
     def located(batches):
+        word_ids.cache_clear()  # this worker may have encoded; rows are sorted beside it now
         key, sequence, offset = sent.value
         for batch in batches:
             n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (length, rank))
