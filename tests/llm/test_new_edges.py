@@ -174,6 +174,37 @@ def test_probabilities_after_a_word_sum_to_one():
         assert np.isclose((10.0**scores).sum(), 1)
 
 
+def test_a_large_letter_model_is_asked_in_lists_not_in_rows_of_letters(spark, monkeypatch):
+    """What words ask of the letter model passes shuffles as a few packed lists, however many letters they have."""
+    import random
+
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choice("abcdeéñ") for _ in range(draw.randint(1, 14))) for _ in range(3000)})
+    vocabulary = spark.createDataFrame([(w, i % 3) for i, w in enumerate(words)], "word string, tables long").repartition(3)
+    model, shared = pitman_yor.letter_model(vocabulary, None, 1)
+    sent = {r.word: r.spelling for r in pitman_yor.with_spelling(vocabulary, model, shared).collect()}
+    monkeypatch.setattr(pitman_yor, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(pitman_yor, "GROUP_WORDS", 400, raising=False)
+    asked = pitman_yor.with_spelling(vocabulary, model, shared)
+    found = {r.word: r.spelling for r in asked.collect()}
+    rows = sum(_shuffled_rows(asked._jdf.queryExecution().executedPlan()))
+    groups = -(-len(words) // 400)
+    assert 0 < rows <= 4 * len(words) + 2 * groups * pitman_yor.PARTS + model.count()  # words are dealt twice here, and twice to be spelt
+    assert found == sent and len(sent) == len(words)
+
+
+def _shuffled_rows(plan):
+    """Rows written by each exchange of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+    children = plan.children()
+    return own + [n for i in range(children.size()) for n in _shuffled_rows(children.apply(i))]
+
+
 def test_steps_leave_no_spent_shuffles_or_tables(spark, monkeypatch):
     """Shuffle files go with the step that made them, and what is left at the end is what the result is read from."""
     import glob
