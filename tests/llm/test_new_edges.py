@@ -205,6 +205,34 @@ def _shuffled_rows(plan):
     return own + [n for i in range(children.size()) for n in _shuffled_rows(children.apply(i))]
 
 
+def test_packed_numbers_and_words_come_back():
+    import numpy as np
+    import pyarrow as pa
+
+    for x in ([], [0, 0, 0], [255], [256, 1], [1 << 40, 3], [-1, 5, 0]):
+        assert pitman_yor.unpacked(pitman_yor.packed(np.array(x, np.int64))).tolist() == x
+    floats = np.array([0.0, -1.5, np.inf])
+    assert pitman_yor.unpacked(pitman_yor.packed(floats), float).tolist() == floats.tolist()
+    for words in ([], ["a"], ["né", "ñandú", "\r"]):
+        letters, offsets = pitman_yor.flat(pa.array(words, pa.string()))
+        assert pitman_yor._unpacked_words(pitman_yor._packed_words(letters, np.diff(offsets))).to_pylist() == words
+    runs = np.array([1, 4, 9, 1, 2, 9, 0], np.uint64)
+    for got, want in zip(pitman_yor._distinct(runs), np.unique(runs, return_inverse=True), strict=True):
+        assert got.tolist() == want.tolist()
+    assert pitman_yor._order(np.array([70000, 3, 3, 0])).tolist() == [3, 1, 2, 0]
+
+
+def test_the_result_is_small_and_all_that_is_left(spark, monkeypatch):
+    """No message between chunks and cells outlives the scoring: what stays on disk has one short row for each text."""
+    import os
+
+    table, made = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    monkeypatch.setattr(pitman_yor, "written", lambda df, f=pitman_yor.written, **options: made.append(f(df, **options)) or made[-1])
+    out = pitman_yor.score_texts(table, F.col("doc_id") % 7 == 0)
+    left = {x.removeprefix("file:") for df in made for x in df.inputFiles() if os.path.exists(x.removeprefix("file:"))}
+    assert left == {x.removeprefix("file:") for x in out.inputFiles()}
+    assert sum(map(os.path.getsize, left)) < 200 * 100 + 40_000 and out.count() == 200
+
 def test_steps_leave_no_spent_shuffles_or_tables(spark, monkeypatch):
     """Shuffle files go with the step that made them, and what is left at the end is what the result is read from."""
     import glob
